@@ -1,10 +1,14 @@
 """The registered queries of the operators of this subpackage, and their SQL."""
 
-from quillmark.llm import decontamination, line_dedup, near_dedup
+from quillmark.llm import decontamination, language_id, line_dedup, near_dedup, packing, prefix_tokens, quality_classifier
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op3_nnls_packing": packing.query,
     "op4_minhash_near_dedup": near_dedup.query,
+    "op5_quality_classifier": quality_classifier.query,
+    "op8_language_id": language_id.query,
+    "op9_token_counts": prefix_tokens.query,
     "op10_benchmark_decontamination": decontamination.query,
 }
 ORACLES = {
