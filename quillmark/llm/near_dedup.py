@@ -11,9 +11,9 @@ verified links are joined into components.
 A group of g similar texts is not expanded into its pairs. Members of a band's
 bucket are compared with the bucket's least id; what that leaves in different
 components is compared pair by pair, inside small buckets by a join and inside
-large ones in blocks, which emit only what survives the signatures. So no
-candidate is capped, and components come out as if all pairs of all buckets
-had been verified.
+large ones block against block inside a task, which emits only verified links
+that join two components. So no candidate is capped, rows stay in proportion
+to members, and components come out as if all pairs had been verified.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a text
 that is null, empty or without words has an empty set and links with nothing;
@@ -41,6 +41,8 @@ from quillmark.llm.runtime import discard, ship, stored
 BROADCAST_IDS = 2_000_000
 #: Buckets up to SMALL members are compared by a join, larger ones in blocks of about BLOCK.
 SMALL, BLOCK = 16, 256
+#: The low bits of a bucket's key are its band.
+BAND_MASK = 255
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,10 @@ class Similarity:
     miss: float = 1e-6
     batch: int = 20
 
+    def __post_init__(self) -> None:
+        if self.bands > BAND_MASK + 1:
+            raise ValueError(f"{self.bands} bands; take fewer rows for so low a threshold")
+
     @cached_property
     def bands(self) -> int:
         return ceil(log(self.band_miss) / log(1 - (self.num / self.den) ** self.rows))
@@ -134,6 +140,7 @@ def _banded(reps: DataFrame, sim: Similarity) -> DataFrame:
         for b in batches:
             parts = _matrix(b.column(1), hashes).reshape(-1, bands, rows).astype(np.uint64)
             keys = tx.mix((tx.mix(parts * steps).sum(axis=2, dtype=np.uint64)) + tx.stream(24, bands))
+            keys = keys & ~np.uint64(BAND_MASK) | np.arange(bands, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["bucket", "id"])
 
     return reps.select("id", "sig").mapInArrow(cut, "bucket long, id long")
@@ -157,30 +164,41 @@ def _plausible(pairs: DataFrame, sketch: DataFrame, sim: Similarity) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
-    """The links among pairs: those similar enough on their full shingle sets."""
-    pairs = stored(pairs, "survivors")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    num, den, n = sim.num, sim.den, sim.words
+def _full_sets(docs: DataFrame, ids: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
+    """(id, s) with the full shingle set of each wanted id's text."""
+    wanted, n = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, sim.words
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in tx.chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), pa.array([s.tobytes() for s in tx.shingle_sets(c, n)], pa.binary())], ["id", "s"])
 
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi")
+    return stored(texts.mapInArrow(full, "id long, s binary"), "sets")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, sim: Similarity) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or sim.den * len(x) < sim.num * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return sim.den * both >= sim.num * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
+    """The links among pairs: those similar enough on their full shingle sets."""
+    pairs = stored(pairs, "survivors")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (p, q) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and den * both >= num * (len(x) + len(y) - both):
-                    keep.append(i)
+            sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(k)] for k in (2, 3))
+            keep = [i for i, (x, y) in enumerate(zip(*sets)) if _linked(x, y, sim)]
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi")
-    sets = stored(texts.mapInArrow(full, "id long, s binary"), "sets")
+    sets = _full_sets(docs, ids, sim, doc_id, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     links = stored(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct(), "links")
     discard(pairs, ids, sets)
@@ -217,29 +235,54 @@ def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
     return stored(held.join(open_, "bucket", "left_semi"), "apart")
 
 
-def _blocked(apart: DataFrame, sketch: DataFrame, sim: Similarity) -> DataFrame:
-    """Plausible pairs across components inside large buckets, found block against block."""
-    steps, hashes = sim.least_matches, sim.hashes
+def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
+    """Links across components inside large buckets, found and verified block against block.
+
+    A pair is left to the first band it shares: that band's bucket also spans
+    components, so it is compared there. Of the verified pairs of a task only
+    those are emitted that join two components, fewer than it has members.
+    """
+    steps, hashes, rows = sim.least_matches, sim.hashes, sim.rows
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, hashes)
         ids, comp, block = g["id"].to_numpy(), g["comp"].to_numpy(), g["block"].to_numpy()
-        lo, hi = g["i"].iloc[0], g["j"].iloc[0]
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        left, right = np.flatnonzero(block == g["i"].iloc[0]), np.flatnonzero(block == g["j"].iloc[0])
         alive, matches, done = comp[left][:, None] != comp[right][None, :], np.zeros((len(left), len(right)), np.int32), 0
         for n, least in steps:
             for k in range(done, n):
                 matches += sig[left, k][:, None] == sig[right, k][None, :]
             alive &= matches >= least
             done = n
-        x, y = np.nonzero(alive & (ids[left][:, None] != ids[right][None, :]))
-        a, b = ids[left[x]], ids[right[y]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = apart.where(F.col("size") > SMALL).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+        x, y = np.nonzero(alive & (ids[left][:, None] < ids[right][None, :]) if g["i"].iloc[0] == g["j"].iloc[0] else alive)
+        order = np.argsort(-matches[x, y], kind="stable")
+        x, y = left[x[order]], right[y[order]]
+        earlier = rows * (int(g["bucket"].iloc[0]) & BAND_MASK)
+        if earlier:
+            first = np.concatenate([~(sig[x[k : k + 4096], :earlier] == sig[y[k : k + 4096], :earlier]).reshape(-1, earlier // rows, rows).all(axis=2).any(axis=1) for k in range(0, len(x), 4096)] or [np.zeros(0, bool)])
+            x, y = x[first], y[first]
+        parent = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets, found = [np.frombuffer(s, np.uint64) for s in g["s"]], []
+        for a, b in zip(x.tolist(), y.tolist()):
+            p, q = top(comp[a]), top(comp[b])
+            if p != q and _linked(sets[a], sets[b], sim):
+                parent[p] = q
+                found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    large = apart.where(F.col("size") > SMALL)
+    sets = _full_sets(docs, stored(large.select("id").distinct(), "ids"), sim, doc_id, text)
+    blocks = large.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = blocks.select("bucket", "id", "comp", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    return blocks.join(sketch.select("id", "sig"), "id").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return blocks.join(sketch.select("id", "sig").join(sets, "id"), "id").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,8 +310,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity | None = None, doc_id: str
         comps = components(links)
         apart = _apart(members, comps)
     if apart.where(F.col("size") > SMALL).limit(1).count():
-        pairs = _blocked(apart, reps, sim).distinct()
-        links = links.unionAll(_verified(pairs, docs, sim, doc_id, text))
+        links = links.unionAll(stored(_blocked(apart, reps, docs, sim, doc_id, text), "links"))
         comps = components(links)
 
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
