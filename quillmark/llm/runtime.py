@@ -1,37 +1,19 @@
-"""Where operators keep intermediate tables, and how workers get this package."""
+"""Where operators keep intermediate tables, in storage that all executors share."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED: set[str] = set()
-_FOLDERS: dict[str, str] = {}
-
+from quillmark.sources.session import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application.
+__all__ = ["discard", "filesystem", "new_path", "shared_folder", "ship", "stored"]
 
-    Functions given to mapInArrow are pickled by reference, so workers have to
-    be able to import the package wherever they run.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="ship"), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
