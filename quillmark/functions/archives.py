@@ -165,7 +165,11 @@ def dataset_ids(text, patterns: list[tuple[str, str]]) -> Column:
     Native expressions only: matches of all patterns are chained in order of
     precedence and later ones of an id dropped.
     """
-    found = F.concat(*(F.transform(F.regexp_extract_all(c(text), F.lit("(?i)" + p), F.lit(1)), lambda x, k=k: F.struct(x.alias("id"), F.lit(k).alias("kind"))) for p, k in patterns))
+
+    def of(pattern: str, kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(c(text), F.lit("(?i)" + pattern), F.lit(1)), lambda x: F.struct(x.alias("id"), F.lit(kind).alias("kind")))
+
+    found = F.concat(*(of(p, k) for p, k in patterns))
     ids = F.transform(found, lambda s: s["id"])
     return F.filter(found, lambda s, i: F.array_position(ids, s["id"]) == i + 1)
 
