@@ -206,7 +206,8 @@ def _count_words(texts: DataFrame, model: Model, folder: str) -> None:
         raise ValueError("a vocabulary of over 4 billion words needs wider keys")
     least = model.total / (COMMON * model.shards)
     # texts begin as often as they end, so the place before a text is as common as the end
-    model.common = np.array(sorted({i for n, i in candidates if n >= least} | {at}), np.uint64)
+    if model.total:
+        model.common = np.array(sorted({i for n, i in candidates if n >= least} | {at}), np.uint64)
 
 
 def _count_pairs(texts: DataFrame, model: Model, folder: str) -> None:
