@@ -24,16 +24,23 @@ def global_position(df: DataFrame, order: list[str | Column], name: str = "posit
     return rows.withColumn(name, place.cast("long")).join(F.broadcast(before), _PART).withColumn(name, F.col(name) + F.col("_before")).drop(_PART, "_before")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, descending: bool = False) -> DataFrame:
-    """Rows with the sum of value over all rows up to their place; equal places share the sum.
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """(order, names): for each place the sums of values over all rows up to it; equal places share a sum.
 
-    Values are first summed by place, places are cut into ranges, and only one
-    sum a range is brought together.
+    sums maps new names to the columns added up. Values are first summed by
+    place, places are cut into ranges, and only one sum a range and name is
+    brought together.
     """
-    by = df.groupBy(order).agg(F.sum(value).alias(name))
+    by = df.groupBy(order).agg(*(F.sum(v).alias(n) for n, v in sums.items()))
     direction = F.col(order).desc() if descending else F.col(order).asc()
     rows = _ranged(by, [direction])
-    totals = rows.groupBy(_PART).agg(F.sum(name).alias("_n"))
-    before = totals.select(_PART, F.coalesce(F.sum("_n").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    run = F.sum(name).over(Window.partitionBy(_PART).orderBy(direction))
-    return rows.withColumn(name, run).join(F.broadcast(before), _PART).select(order, (F.col(name) + F.col("_before")).alias(name))
+    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(_PART).agg(*(F.sum(n).alias(f"_t_{n}") for n in sums))
+    before = totals.select(_PART, *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy(_PART).orderBy(direction)
+    run = rows.select(order, _PART, *(F.sum(n).over(own).alias(n) for n in sums))
+    return run.join(F.broadcast(before), _PART).select(order, *((F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, descending: bool = False) -> DataFrame:
+    return running_totals(df, order, {name: value}, descending)

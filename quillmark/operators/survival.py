@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.ordering import running_total
+from quillmark.operators.ordering import running_total, running_totals
 
 
 def risk_sets(events: DataFrame, observed: DataFrame, time: str = "t") -> DataFrame:
@@ -24,8 +24,7 @@ def risk_sets(events: DataFrame, observed: DataFrame, time: str = "t") -> DataFr
 def cumulative_function(events: DataFrame, observed: DataFrame, z: float = 1.96) -> DataFrame:
     """(t, d, n, mcf, low, high): the Nelson-Aalen sum of d / n, its variance the sum of d / n^2."""
     risk = risk_sets(events, observed).withColumn("step", F.col("d") / F.col("n")).withColumn("var", F.col("d") / (F.col("n") * F.col("n")))
-    mcf, var = running_total(risk, "t", "step", "mcf"), running_total(risk, "t", "var", "v")
-    out = risk.select("t", "d", "n").join(mcf, "t").join(var, "t")
+    out = risk.select("t", "d", "n").join(running_totals(risk, "t", {"mcf": "step", "v": "var"}), "t")
     half = z * F.sqrt("v")
     return out.select("t", "d", "n", "mcf", F.greatest(F.col("mcf") - half, F.lit(0.0)).alias("low"), (F.col("mcf") + half).alias("high"))
 
@@ -35,8 +34,7 @@ def kaplan_meier(first_or_end: DataFrame, time: str = "t", event: str = "event")
     risk = risk_sets(first_or_end.where(F.col(event)), first_or_end, time)
     # the last factor is 0 when all at risk have the event; its log is kept apart
     factors = risk.withColumn("l", F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)).withColumn("z", (F.col("d") >= F.col("n")).cast("int"))
-    logs, zeros = running_total(factors, "t", "l", "s"), running_total(factors, "t", "z", "zs")
-    return risk.join(logs, "t").join(zeros, "t").select("t", "d", "n", F.when(F.col("zs") > 0, 0.0).otherwise(F.exp("s")).alias("survival"))
+    return risk.join(running_totals(factors, "t", {"s": "l", "zs": "z"}), "t").select("t", "d", "n", F.when(F.col("zs") > 0, 0.0).otherwise(F.exp("s")).alias("survival"))
 
 
 def binned_rates(events: DataFrame, observed: DataFrame, width: float, bins: int, per: float = 1.0) -> DataFrame:
