@@ -28,3 +28,29 @@ def test_odd_rows_pass(spark, data):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_stages_against_plain_python(spark, data):
+    """Line dedup, near-dedup and decontamination over what the classifier keeps."""
+    from test_decontamination import brute as contained
+    from test_line_dedup import brute as without_lines
+    from test_near_dedup import brute as grouped
+
+    from quillmark.llm import line_dedup
+
+    (_, quality), (_, lines), (_, near), (_, clean) = P.STAGES[:4]
+    first = P.stored(quality(spark, spark.read.parquet(f"{data}/documents.parquet"), data), "t")
+    second = P.stored(lines(spark, first, data), "t")
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in first.collect()]
+    got = sorted((r["doc_id"], r["source"] or "", "\0" if r["text"] is None else r["text"]) for r in second.collect())
+    assert got == without_lines(rows, line_dedup.RATIO, line_dedup.MIN_PAGES)
+    assert all(r["n_chars"] == len(r["text"]) for r in second.where("text is not null").collect())
+
+    third = P.stored(near(spark, second, data), "t")
+    groups = grouped([(r["doc_id"], r["text"]) for r in second.collect()], 5, 80, 100)
+    assert {r["doc_id"] for r in third.collect()} == {i for i, (_, c) in groups.items() if i == c}
+
+    fourth = clean(spark, third, data)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in third.collect()]
+    assert {r["doc_id"] for r in fourth.collect()} == {i for i, _ in docs} - {m[0] for m in contained(docs, items)}
