@@ -76,7 +76,7 @@ def applied_overrides(items: DataFrame, overrides: DataFrame, key: str, values:
     o = overrides.select(F.col(key).alias("_k"), "replace", "remove")
     removed = F.filter(values, lambda x: ~F.array_contains(F.transform(F.coalesce("remove", F.array()), lambda y: F.lower(y)), F.lower(x)))
     new = F.when(F.col("replace").isNotNull(), F.col("replace")).otherwise(removed)
-    return items.join(F.broadcast(o), F.col(key) == F.col("_k"), "left").select(*(new.alias(c) if c == values else F.col(c) for c in items.columns))
+    return items.join(o, F.col(key) == F.col("_k"), "left").select(*(new.alias(c) if c == values else F.col(c) for c in items.columns))
 
 
 def enriched(rows: DataFrame, extra: DataFrame, key: str, columns: list[str]) -> DataFrame:

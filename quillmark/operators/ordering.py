@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 _PART = "_part"
 
 
-def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    return df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(_PART, F.spark_partition_id())
+def range_of(df: DataFrame, value: Column, descending: bool = False) -> Column:
+    """The number of the range that a value falls in, from 0 in order; null comes first, or last when descending.
+
+    Bounds are taken once, from a sample of fixed size, and become part of the
+    expression, so every plan that uses it agrees on the ranges, whenever and
+    wherever it is run again.
+    """
+    parts = max(2, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = df.select(value.alias("v")).where("v is not null").orderBy(F.rand(7)).limit(20 * parts).collect()
+    values = sorted({r["v"] for r in drawn})
+    cuts = sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    found = F.when(value.isNull(), 0).otherwise(search(0, len(cuts)))
+    return F.lit(len(cuts)) - found if descending else found
 
 
-def global_position(df: DataFrame, order: list[str | Column], name: str = "position") -> DataFrame:
+def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Rows with their place, from 1, in the order of all rows."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    rows = _ranged(df, order)
+    rows = df.withColumn(_PART, range_of(df, F.col(order[0])))
     sizes = rows.groupBy(_PART).agg(F.count("*").alias("_n"))
-    # one row a partition
+    # one row a range
     before = sizes.select(_PART, (F.sum("_n").over(Window.orderBy(_PART)) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(_PART).orderBy(*cols))
+    place = F.row_number().over(Window.partitionBy(_PART).orderBy(*order))
     return rows.withColumn(name, place.cast("long")).join(F.broadcast(before), _PART).withColumn(name, F.col(name) + F.col("_before")).drop(_PART, "_before")
 
 
@@ -33,7 +49,7 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending:
     """
     by = df.groupBy(order).agg(*(F.sum(v).alias(n) for n, v in sums.items()))
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    rows = _ranged(by, [direction])
+    rows = by.withColumn(_PART, range_of(by, F.col(order), descending))
     earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(_PART).agg(*(F.sum(n).alias(f"_t_{n}") for n in sums))
     before = totals.select(_PART, *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.ordering import running_total, running_totals
+from quillmark.operators.ordering import range_of, running_total, running_totals
 
 
 def risk_sets(events: DataFrame, observed: DataFrame, time: str = "t") -> DataFrame:
@@ -91,7 +91,7 @@ def as_of(questions: DataFrame, steps: DataFrame, at: str = "x") -> DataFrame:
     both = questions.select(F.col(at).alias("_x"), F.struct(*questions.columns).alias("_q"), F.lit(None).cast("double").alias("_v")).unionAll(
         steps.select(F.col("t").cast("double").alias("_x"), F.lit(None).cast(questions.select(F.struct(*questions.columns).alias("q")).schema["q"].dataType).alias("_q"), F.col("v").cast("double").alias("_v"))
     )
-    rows = both.repartitionByRange("_x").withColumn("_p", F.spark_partition_id())
+    rows = both.withColumn("_p", range_of(both, F.col("_x")))
     order = [F.col("_x"), F.col("_v").isNull()]
     own = F.last("_v", True).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     ends = rows.where("_v is not null").groupBy("_p").agg(F.max_by("_v", "_x").alias("_e"))
