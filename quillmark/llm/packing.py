@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.prefix_tokens import PATTERN, byte_alphabet, tokenizer_path
+from quillmark.llm.byte_bpe import PATTERN, byte_alphabet, tokenizer_path
 from quillmark.llm.runtime import ship
 
 WINDOW, END_ID = 1024, 0

@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,32 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.llm.byte_bpe import CONTRACTIONS, PATTERN, byte_alphabet, tokenizer_path
 from quillmark.llm.runtime import ship
 
-#: The pattern that byte-level BPE splits texts by before merging.
-CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-PATTERN = "|".join(CONTRACTIONS) + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker keeps the counts of up to twice so many pieces of up to so many characters.
 CACHED, CACHED_CHARS = 250_000, 40
 LIMIT = 512
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary.
-
-    Printable Latin-1 characters stand for themselves; the rest follow from 256.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Vocabulary:
     """Tokens and special tokens of a byte-level BPE file, and which tokens may stand together."""
 
@@ -76,7 +59,12 @@ class Vocabulary:
             x, y = map(raw, m.split(" ") if isinstance(m, str) else m)
             a, b, whole = self.tokens[x], self.tokens[y], self.tokens[x + y]
             self.merge[a << 32 | b], self.parts[whole], self.rank[whole] = r, (a, b), r
-        self.longest = max(map(len, self.tokens))
+        # finds all tokens that end at each byte, in one pass over bytes as characters
+        found = ahocorasick.Automaton()
+        for token, i in self.tokens.items():
+            found.add_word(token.decode("latin-1"), (i, len(token)))
+        found.make_automaton()
+        self.ending = found.iter
 
     def stable(self, a: int, b: int) -> bool:
         """Whether merging the bytes of two tokens gives the same two tokens.
@@ -128,26 +116,26 @@ class PrefixCounter(dict):
 
     def counts(self, piece: str) -> list[int]:
         """The token count of each prefix of one piece, by character."""
-        data, tokens, longest = piece.encode(), self.v.tokens, self.v.longest
-        stable, known = self.v.stable, self.stable
+        data, stable, known = piece.encode(), self.v.stable, self.stable
         if len(known) > CACHED:
             known.clear()
         n = len(data)
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for at in range(max(0, i - longest), i):
-                t = tokens.get(data[at:i])
-                if t is None:
+        for end, (t, size) in self.v.ending(data.decode("latin-1")):
+            i = end + 1
+            if last[i] >= 0:
+                continue
+            at = i - size
+            if at:
+                pair = last[at] << 32 | t
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known[pair] = stable(last[at], t)
+                if not fits:
                     continue
-                if at:
-                    pair = last[at] << 32 | t
-                    fits = known.get(pair)
-                    if fits is None:
-                        fits = known[pair] = stable(last[at], t)
-                    if not fits:
-                        continue
-                last[i], count[i] = t, count[at] + 1
-                break
+            last[i], count[i] = t, count[at] + 1
+        if n == len(piece):
+            return count[1:]
         return [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
 
     def ordinary(self, text: str) -> bytes:
