@@ -178,7 +178,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             enough = r["n_short"] >= DRAWN
             shares = F.when((F.col("l") == r["l"]) & (short if enough else F.lit(True)), F.lit(1.5 * DRAWN / (r["n_short"] if enough else r["n"]))).otherwise(shares)
         drawn = train.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < shares * (1 << 30))
-        drawn = drawn.select("l", F.xxhash64("i", "t").alias("h"), F.left("t", F.lit(4 * SYMBOLS)).alias("t")).orderBy("h", "t").limit(3 * DRAWN * LANGUAGES)
+        drawn = drawn.select("l", F.xxhash64("i", "t").alias("h"), F.left("t", F.lit(SYMBOLS)).alias("t")).orderBy("h", "t").limit(3 * DRAWN * LANGUAGES)
         for r in drawn.collect():
             if r["t"] not in texts[r["l"]]:
                 texts[r["l"]].append(r["t"])
