@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -122,7 +121,7 @@ def mapped(uri: str) -> np.ndarray:
     got = _MAPPED.get(uri)
     if got is None:
         fs, path = filesystem(uri)
-        if isinstance(fs, pafs.LocalFileSystem):
+        if fs.type_name == "local":
             got = np.load(path, mmap_mode="r")
         else:
             handle, local = tempfile.mkstemp(suffix=".npy")

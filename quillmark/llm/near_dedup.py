@@ -29,7 +29,6 @@ from functools import cached_property
 from math import ceil, comb, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +157,7 @@ def _plausible(pairs: DataFrame, sketch: DataFrame, sim: Similarity) -> DataFram
                 matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1, dtype=np.int32)
                 alive, done = alive[matches[alive] >= least], n
             yield batch.select([0, 1]).take(pa.array(alive))
+            tx.relax()
 
     sig = sketch.select("id", "sig")
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -197,6 +197,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, doc_id: str, t
             sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(k)] for k in (2, 3))
             keep = [i for i, (x, y) in enumerate(zip(*sets)) if _linked(x, y, sim)]
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
+            tx.relax()
 
     sets = _full_sets(docs, ids, sim, doc_id, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -244,20 +245,21 @@ def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similari
     """
     steps, hashes, rows = sim.least_matches, sim.hashes, sim.rows
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, hashes)
-        ids, comp, block = g["id"].to_numpy(), g["comp"].to_numpy(), g["block"].to_numpy()
-        left, right = np.flatnonzero(block == g["i"].iloc[0]), np.flatnonzero(block == g["j"].iloc[0])
+    def compare(g: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(-1, hashes)
+        ids, comp, block = (g.column(n).to_numpy() for n in ("id", "comp", "block"))
+        bucket, i, j = (g.column(n)[0].as_py() for n in ("bucket", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         alive, matches, done = comp[left][:, None] != comp[right][None, :], np.zeros((len(left), len(right)), np.int32), 0
         for n, least in steps:
             for k in range(done, n):
                 matches += sig[left, k][:, None] == sig[right, k][None, :]
             alive &= matches >= least
             done = n
-        x, y = np.nonzero(alive & (ids[left][:, None] < ids[right][None, :]) if g["i"].iloc[0] == g["j"].iloc[0] else alive)
+        x, y = np.nonzero(alive & (ids[left][:, None] < ids[right][None, :]) if i == j else alive)
         order = np.argsort(-matches[x, y], kind="stable")
         x, y = left[x[order]], right[y[order]]
-        earlier = rows * (int(g["bucket"].iloc[0]) & BAND_MASK)
+        earlier = rows * (bucket & BAND_MASK)
         if earlier:
             first = np.concatenate([~(sig[x[k : k + 4096], :earlier] == sig[y[k : k + 4096], :earlier]).reshape(-1, earlier // rows, rows).all(axis=2).any(axis=1) for k in range(0, len(x), 4096)] or [np.zeros(0, bool)])
             x, y = x[first], y[first]
@@ -269,20 +271,21 @@ def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similari
                 c = parent[c]
             return c
 
-        sets, found = [np.frombuffer(s, np.uint64) for s in g["s"]], []
+        sets, found = [np.frombuffer(s.as_buffer(), np.uint64) for s in g.column("s")], []
         for a, b in zip(x.tolist(), y.tolist()):
             p, q = top(comp[a]), top(comp[b])
             if p != q and _linked(sets[a], sets[b], sim):
                 parent[p] = q
-                found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                found.append(sorted((int(ids[a]), int(ids[b]))))
+        tx.relax()
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     large = apart.where(F.col("size") > SMALL)
     sets = _full_sets(docs, stored(large.select("id").distinct(), "ids"), sim, doc_id, text)
     blocks = large.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = blocks.select("bucket", "id", "comp", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    return blocks.join(sketch.select("id", "sig").join(sets, "id"), "id").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return blocks.join(sketch.select("id", "sig").join(sets, "id"), "id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

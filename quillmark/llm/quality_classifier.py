@@ -35,6 +35,8 @@ SAMPLE = 2000
 TERMS, LATENT, NEIGHBOURS, SHARPNESS, REPEATS = 4096, 64, 25, 8.0, 1.5
 THRESHOLD, FOLDS, HELD_FOLD = 0.3, 5, 0
 _SHIFT = np.uint32(32 - 12)
+#: Texts whose term counts are held at once, 48 kB each.
+CHUNK_TEXTS = 256
 
 
 def term_counts(c: tx.Chunk) -> np.ndarray:
@@ -68,7 +70,7 @@ class Model:
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, share: float) -> Model:
-        weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
+        weights = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 0.1
         x = _terms(counts, weights)
         rng = np.random.default_rng(5)
         y = x @ rng.standard_normal((x.shape[1], min(LATENT + 16, *x.shape))).astype(np.float32)
@@ -97,12 +99,13 @@ class Model:
 
 
 def _terms(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted terms at unit length, with the repeated share as a term of up to REPEATS times that."""
-    x = np.log1p(counts)
+    """Weighted terms at unit length, with the repeated share as a term of up to REPEATS times that; in place of counts."""
+    share = counts[:, -1].copy()
+    x = np.log1p(counts, out=counts)
     x *= weights
     x[:, -1] = 0
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    x[:, -1] = REPEATS * counts[:, -1]
+    x[:, -1] = REPEATS * share
     return x
 
 
@@ -127,15 +130,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in tx.chunks(b.column(1)):
+            for c in tx.chunks(b.column(1), chunk_texts=CHUNK_TEXTS):
                 blobs = [x.astype(np.float16).tobytes() for x in np.minimum(term_counts(c), 6e4)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), b.column(2).slice(c.first, len(c)), pa.array(blobs, pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(chosen, "id").select("id", "t", "y")
     got = texts.mapInArrow(count, "id long, y int, x binary").orderBy("id").limit(4 * sample).toArrow()
     discard(one)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     y = np.array(got.column("y").to_pylist(), np.float32)
+    x = np.empty((len(y), TERMS), np.float32)
+    for i, blob in enumerate(got.column("x")):
+        x[i] = np.frombuffer(blob.as_buffer(), np.float16)
+    del got
     if len(x) < 2 or not 0 < y.mean() < 1:
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, share if len(set(y.tolist())) != 1 else float(y[0]))
     return Model.fit(x, y, share)
@@ -145,7 +151,7 @@ def _scorer(docs: DataFrame, model: Model):
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: pa.Array) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(given.value.scores(term_counts(c)) for c in tx.chunks(texts))])
+        return np.concatenate([np.zeros(0), *(given.value.scores(term_counts(c)) for c in tx.chunks(texts, chunk_texts=CHUNK_TEXTS))])
 
     return scores
 

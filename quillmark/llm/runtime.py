@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.sources.session import ship
@@ -63,7 +62,10 @@ def discard(*tables: DataFrame) -> None:
             _remove_quietly(path)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(uri: str):
+    """The file system of a URI and the path in it; loaded when first needed."""
+    import pyarrow.fs as pafs
+
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
@@ -74,7 +76,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def _remove_quietly(uri: str) -> None:
     try:
         fs, path = filesystem(uri)
-        if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        if fs.get_file_info(path).type.name != "NotFound":
             fs.delete_dir(path)
     except Exception:  # leftover files do no harm; the folder's owner clears it
         pass

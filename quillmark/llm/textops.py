@@ -9,6 +9,8 @@ probability below 1e-7.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+#: glibc's way to return free memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+#: Bytes of text worked on at once, and texts at most; a longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,7 +76,14 @@ class Chunk:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def relax() -> None:
+    """Give memory that is free back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES, chunk_texts: int = CHUNK_TEXTS) -> Iterator[Chunk]:
     """The texts of an Arrow string array in order, null as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -86,9 +97,10 @@ def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + chunk_bytes, "right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, max(end, at + 1), at + chunk_texts)
         yield Chunk(at, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
+    relax()
 
 
 @dataclass
