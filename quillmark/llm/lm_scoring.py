@@ -188,7 +188,7 @@ def _count_words(texts: DataFrame, model: Model, folder: str) -> None:
 
     parts, part_of = model.parts, model.part_of
     sent = kn.counted(texts, lambda c, b: tokens(c)[0], part_of, CHUNK_BYTES)
-    rows = sent.groupBy("shard").applyInArrow(write, "part long, n long, total long, words string, counts string, top array<long>, top_counts array<long>")
+    rows = sent.repartition(parts, "shard").groupBy("shard").applyInArrow(write, "part long, n long, total long, words string, counts string, top array<long>, top_counts array<long>")
     got = {r["part"]: r for r in stored(rows, "words").toLocalIterator()}
     at = 0
     candidates = []
@@ -239,7 +239,7 @@ def _count_pairs(texts: DataFrame, model: Model, folder: str) -> None:
 
     schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("files", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
     sent = kn.counted(texts, pairs, model.shard_of, CHUNK_BYTES)
-    rows = stored(sent.groupBy("shard").applyInArrow(write, "kind string, key long, files array<string>, n array<long>, keys binary, counts binary"), "pairs")
+    rows = stored(sent.repartition(model.shards, "shard").groupBy("shard").applyInArrow(write, "kind string, key long, files array<string>, n array<long>, keys binary, counts binary"), "pairs")
     n = np.zeros(5, np.int64)
     for r in rows.where("kind = 'shard'").select("key", "files", "n").toLocalIterator():
         model.pairs[r["key"]] = r["files"]
@@ -262,7 +262,7 @@ def _count_preceding(rows: DataFrame, model: Model, folder: str, per: int) -> No
         return pa.table({"k": [k], "file": [kn.saved(folder, f"before-{k}", dense)], "n": [kn.count_of_counts(counts) + [int((counts > 2).sum()), int(counts.sum())]]})
 
     sent = rows.where("kind = 'before'").select(F.col("key").cast("int").alias("shard"), "keys", "counts")
-    got = stored(sent.groupBy("shard").applyInArrow(write, "k long, file string, n array<long>"), "before").collect()
+    got = stored(sent.repartition(model.parts, "shard").groupBy("shard").applyInArrow(write, "k long, file string, n array<long>"), "before").collect()
     n = np.zeros(6, np.int64)
     ranges = {}
     for r in got:
