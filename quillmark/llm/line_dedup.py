@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from quillmark.llm.runtime import discard, ship, stored
 
-#: Production parameters.
-RATIO, MIN_PAGES = 0.05, 3
+#: Production parameters. A host's languages share its pages, so lines of the smaller ones are on few of them in a hundred.
+RATIO, MIN_PAGES = 0.01, 3
 #: Up to so many (host, line) rows, 12 bytes each, are broadcast; more are joined by host and salt.
 BROADCAST_LINES = 1_000_000
 SALTS = 64

@@ -36,3 +36,12 @@ def test_dropping(spark, monkeypatch, bound):
     assert out.columns == df.columns
     assert sorted((r[0], r[1] or "", "\0" if r[2] is None else r[2]) for r in out.collect()) == brute(ROWS, 0.5, 2)
     assert L.drop_lines(df.limit(0)).count() == 0
+
+
+def test_lines_of_a_smaller_language(spark):
+    """A fifth of a source's pages are French and a tenth of them have the line: 2 % of the source."""
+    rows = [(i, "s", ("Voir aussi.\n" if i % 50 == 0 else "Rare.\n" if i < 5 else "") + f"body {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in L.drop_lines(df).collect()}
+    assert got == {i: t.removeprefix("Voir aussi.\n") for i, _, t in rows}
+    assert sum(t.startswith("Rare.") for t in got.values()) == 4
