@@ -2,15 +2,15 @@
 
 Paths are cut into segments. Per host, a tree of templates is grown level by
 level: a segment becomes a wildcard when it is variable by shape (it has a
-digit: ids, dates, hashes; an extension stays) or because its parent has many
-children that are mostly rare. Sibling branches of one shape whose shares of
+digit: ids, dates, hashes; an extension stays) or because it is one of many
+rare children of its parent. Sibling branches of one shape whose shares of
 bad labels do not differ by more than chance are merged into one. A template's
 purity is its share of bad labels, smoothed towards its host's and that
 towards all hosts'; templates above the limit are rejected.
 
 Every step is an aggregation with partial sums or a join of such sums, so a
-host with a third of all pages is only more rows of counts. Segments beyond
-DEPTH count as one. Explicit rules come first, the longest that fits.
+host with a third of all pages is only more rows of counts. Trees are as deep
+as the paths are. Explicit rules come first, the longest that fits.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and belongs to the template of that empty host; empty segments
@@ -22,14 +22,15 @@ is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.runtime import stored
 
-DEPTH = 6
-#: A parent of more than FANOUT children that have on average under MEAN pages has a wildcard for them.
-FANOUT, MEAN = 20, 5.0
+#: A parent of more than FANOUT children with under ENOUGH pages and labels has a wildcard for those.
+FANOUT, ENOUGH = 20, 5
 #: Merging: branches less than Z standard errors from their siblings' share. Purity: weights of the host's and of the overall share.
 Z, HOST_WEIGHT, ALL_WEIGHT, LIMIT = 1.96, 10.0, 50.0, 0.5
 WILD, MERGED = "*", "{}"
@@ -56,22 +57,34 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def _segments(path: Column) -> Column:
-    """Up to DEPTH segments, the last holding what is beyond; shapes with digits as wildcards."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH)
+    """All segments; shapes with digits as wildcards."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit(WILD), F.regexp_extract(s, "[^0-9/](\\.[A-Za-z]{1,5})$|[0-9](\\.[A-Za-z]{1,5})$", 2))).otherwise(s))
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, path, template) for the distinct (host, path, n) of urls."""
+    """urls, distinct (host, path, n, labelled, ...), with the template of each path.
+
+    A path goes down the tree while more than FANOUT paths share its branch;
+    below that no parent can be wide, and the rest of the path is taken as it is.
+    """
+    here, columns = ["host", "template"], [*urls.columns, "template"]
     rows = urls.withColumn("s", _segments(F.col("path"))).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        there = F.size("s") > level
-        child = F.get("s", F.lit(level))
-        children = rows.where(there & ~child.startswith(WILD)).groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.avg("n").alias("mean")).where((F.col("k") > FANOUT) & (F.col("mean") < MEAN)).select("host", "template", F.lit(True).alias("wide"))
-        rows = rows.join(wide, ["host", "template"], "left")
-        rows = rows.withColumn("template", F.when(there, F.concat("template", F.lit("/"), F.when(F.col("wide"), WILD).otherwise(child))).otherwise(F.col("template"))).drop("wide")
-    return rows.drop("s")
+    child, rest = F.get("s", F.lit(0)), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0)))
+    parts, level = [], 0
+    while True:
+        children = rows.groupBy(*here, child.alias("child")).agg(*(F.sum(c).alias(c) for c in ("n", "labelled")), F.count("*").alias("paths"))
+        few = ~F.col("child").startswith(WILD) & (F.greatest("n", "labelled") < ENOUGH)
+        nodes = children.groupBy(*here).agg(F.sum("paths").alias("paths"), F.count_if(few).alias("few"))
+        wide = children.where(few).select(*here, "child").join(nodes.where(F.col("few") > FANOUT).select(*here), here).withColumn("rare", F.lit(True))
+        rows = rows.withColumn("child", child).join(nodes.where(F.col("paths") > FANOUT).select(*here, F.lit(True).alias("open")), here, "left").join(wide, [*here, "child"], "left")
+        below = F.concat("template", F.lit("/"), F.when(F.col("rare"), F.lit(WILD)).otherwise(F.col("child")))
+        whole = F.concat("template", F.lit("/"), F.array_join("s", "/"))
+        rows = stored(rows.select(*urls.columns, F.when(F.col("open"), below).otherwise(whole).alias("template"), F.when(F.col("open"), rest).otherwise(F.array().cast("array<string>")).alias("s")), f"templates-{level}")
+        parts.append(rows.where(F.size("s") == 0).select(*columns))
+        rows, level = rows.where(F.size("s") > 0), level + 1
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, parts)
 
 
 def judged_templates(counts: DataFrame) -> DataFrame:
@@ -104,8 +117,8 @@ def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: st
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     seen = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
     marks = labels.groupBy("host", "path").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    paths = stored(templates(seen), "templates")
-    counts = paths.join(marks, ["host", "path"], "left").groupBy("host", "template").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "labelled", "bad")))
+    paths = templates(seen.join(marks, ["host", "path"], "left").fillna(0, ["labelled", "bad"]))
+    counts = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
     judged = judged_templates(stored(counts, "template-counts"))
     known = paths.select("host", "path", "template").join(judged, ["host", "template"])
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)

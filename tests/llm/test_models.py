@@ -118,3 +118,20 @@ def test_templates_and_purity(spark):
     assert {r["verdict"] for k, r in got.items() if k < 60} == {"block"} and {r["verdict"] for k, r in got.items() if k >= 60} == {"allow"}
     assert len({r["template"] for k, r in got.items() if k < 60}) == 1
     assert len({r["template"] for k, r in got.items() if 100 <= k < 200}) == 1
+
+
+def _judged(spark, urls):
+    """Pages by number from (url, bad or none)."""
+    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad int")
+    marks = pages.where("bad is not null").select(U.host_of(pages.url).alias("host"), U.path_of(pages.url).alias("path"), "bad")
+    return {r["page_id"]: r for r in U.judge(pages, marks).collect()}
+
+
+def test_deep_paths_and_frequent_children(spark):
+    deep = [(f"http://a.org/a/b/c/d/e/f/g/{'good' if i % 2 else 'bad'}/{i}", 1 - i % 2) for i in range(80)]
+    wide = [(f"http://b.org/{w}/{i}", int(w == "casino")) for w in ("casino", "news") for i in range(30)]
+    slugs = [(f"http://b.org/{chr(97 + i % 26)}{chr(97 + i // 26)}", None) for i in range(100)]
+    got = _judged(spark, deep + wide + slugs)
+    assert [got[i]["verdict"] for i in range(80)] == ["allow" if i % 2 else "block" for i in range(80)]
+    assert [got[80 + i]["verdict"] for i in range(60)] == ["block"] * 30 + ["allow"] * 30
+    assert len({got[140 + i]["template"] for i in range(100)}) == 1
