@@ -3,8 +3,9 @@
 Paths are cut into segments. Per host, a tree of templates is grown level by
 level: a segment becomes a wildcard when it is variable by shape (it has a
 digit: ids, dates, hashes; an extension stays) or because it is one of many
-rare children of its parent. Sibling branches of one shape whose shares of
-bad labels do not differ by more than chance are merged into one. A template's
+rare children of its parent. Sibling branches of one shape are merged
+bottom-up, at every level, where their shares of bad labels for the same rest
+of a path do not differ by more than chance. A template's
 purity is its share of bad labels, smoothed towards its host's and that
 towards all hosts'; templates above the limit are rejected.
 
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.runtime import stored
+from quillmark.llm.runtime import discard, stored
 
 #: A parent of more than FANOUT children with under ENOUGH pages and labels has a wildcard for those.
 FANOUT, ENOUGH = 20, 5
@@ -87,24 +88,46 @@ def templates(urls: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionAll, parts)
 
 
+def _branches(counts: DataFrame) -> DataFrame:
+    """(host, template, labelled, bad, branch): what a template is part of once siblings alike are merged.
+
+    From the deepest level up, the same rest of a path under siblings of one
+    shape is pooled where the share of bad labels allows it; pooled labels
+    count together at the levels above. Only levels where a parent has
+    several children are visited.
+    """
+    segments = F.split(F.regexp_replace("template", "^/", ""), "/")
+    rows = stored(counts.select("host", "template", "labelled", "bad", segments.alias("s"), segments.alias("g")), "branches")
+    places = rows.select("host", "s", F.posexplode("s").alias("at", "x"))
+    nodes = places.groupBy("host", "at", F.slice("s", F.lit(1), F.col("at")).alias("up")).agg((F.min("x") < F.max("x")).alias("several"))
+    for at in sorted((r[0] for r in nodes.where("several").select("at").distinct().collect()), reverse=True):
+        x, mine, pool = F.col("s")[at], ["host", "up", "rest", "x"], ["host", "up", "rest", "shape"]
+        there = rows.where(F.size("s") > at)
+        keyed = there.withColumn("up", F.slice("s", 1, at)).withColumn("rest", F.slice("g", at + 2, F.size("g"))).withColumn("x", x)
+        each = keyed.groupBy(*mine).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).withColumn("shape", F.regexp_replace("x", "[A-Za-z]+", "a"))
+        every = each.groupBy(*pool).agg(F.sum("n").alias("every_n"), F.sum("b").alias("every_b"))
+        share = F.col("every_b") / F.greatest("every_n", F.lit(1))
+        error = F.sqrt(share * (1 - share) / F.greatest("n", F.lit(1)))
+        near = each.join(every, pool).where((F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - share) <= Z * error))
+        several = near.groupBy(*pool).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        merged = near.join(several, pool).select(*mine, F.concat(F.lit(MERGED), "shape").alias("to"))
+        to = F.concat(F.slice("g", 1, at), F.array(F.coalesce("to", "x")), F.col("rest"))
+        changed = keyed.join(merged, mine, "left").select("host", "template", "labelled", "bad", "s", to.alias("g"))
+        new = stored(changed.unionAll(rows.where(F.size("s") <= at)), f"branches-{at}")
+        discard(rows)
+        rows = new
+    return rows.select("host", "template", "labelled", "bad", F.concat(F.lit("/"), F.array_join("g", "/")).alias("branch"))
+
+
 def judged_templates(counts: DataFrame) -> DataFrame:
-    """(host, template, purity) from (host, template, n, labelled, bad), siblings alike merged."""
-    parent = F.regexp_replace("template", "/[^/]*$", "")
-    shape = F.regexp_replace(F.regexp_replace("template", "^.*/", ""), "[A-Za-z]+", "a")
-    rows = counts.withColumn("parent", parent).withColumn("shape", shape)
-    groups = rows.groupBy("host", "parent", "shape").agg(F.sum("labelled").alias("g_labelled"), F.sum("bad").alias("g_bad"))
-    share = F.col("g_bad") / F.greatest("g_labelled", F.lit(1))
-    error = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
-    rows = rows.join(groups, ["host", "parent", "shape"]).withColumn("alike", (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= Z * error))
-    pools = rows.where("alike").groupBy("host", "parent", "shape").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
-    rows = rows.join(pools, ["host", "parent", "shape"], "left")
-    n, bad = (F.when(F.col("alike"), F.col(f"p_{c}")).otherwise(F.col(c)) for c in ("labelled", "bad"))
+    """(host, template, branch, purity) from (host, template, n, labelled, bad), siblings alike merged."""
+    rows = _branches(counts)
+    pools = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     every = counts.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(1))).alias("all_share"))
-    rows = rows.join(hosts, "host").join(F.broadcast(every))
+    rows = rows.join(pools, ["host", "branch"]).join(hosts, "host").join(F.broadcast(every))
     host_share = (F.col("h_bad") + ALL_WEIGHT * F.col("all_share")) / (F.col("h_labelled") + ALL_WEIGHT)
-    merged = F.when(F.col("alike"), F.concat("parent", F.lit("/" + MERGED), "shape")).otherwise(F.col("template"))
-    return rows.select("host", "template", merged.alias("branch"), ((bad + HOST_WEIGHT * host_share) / (n + HOST_WEIGHT)).alias("purity"))
+    return rows.select("host", "template", "branch", ((F.col("b") + HOST_WEIGHT * host_share) / (F.col("n") + HOST_WEIGHT)).alias("purity"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:

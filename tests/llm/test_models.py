@@ -135,3 +135,15 @@ def test_deep_paths_and_frequent_children(spark):
     assert [got[i]["verdict"] for i in range(80)] == ["allow" if i % 2 else "block" for i in range(80)]
     assert [got[80 + i]["verdict"] for i in range(60)] == ["block"] * 30 + ["allow"] * 30
     assert len({got[140 + i]["template"] for i in range(100)}) == 1
+
+
+def test_siblings_merge_at_inner_levels(spark):
+    """Sparse branches are judged by siblings whose leaves are alike; unlike ones stay apart."""
+    urls = [(f"http://a.org/{x}/{y}/{i}", b) for x, k, b in (("aa", 20, 1), ("bb", 2, 1), ("cc", 0, None)) for y in ("p", "q") for i in range(k or 3)]
+    other = [(f"http://a.org/zz1/{i}", 0) for i in range(400)]
+    got = _judged(spark, urls + other)
+    first = [got[i] for i in range(len(urls))]
+    assert {r["verdict"] for r in first} == {"block"} and len({r["template"] for r in first}) == 1
+    assert {got[len(urls) + i]["verdict"] for i in range(400)} == {"allow"}
+    apart = _judged(spark, [(f"http://b.org/{x}/{i}", b) for x, b in (("casino", 1), ("news", 0)) for i in range(30)])
+    assert len({r["template"] for r in apart.values()}) == 2
