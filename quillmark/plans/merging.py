@@ -206,6 +206,14 @@ def word_overlap(spark, d):
     return M.token_overlap_join(a, b).withColumn("share", F.round("share", 6))
 
 
+@query("q_word_overlap_whole")
+def word_overlap_whole(spark, d):
+    """As q_word_overlap, over whole texts of items and documents."""
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
+    b = table(spark, d, "documents").select(F.col("doc_id").alias("name_id"), F.col("text").alias("name"))
+    return M.token_overlap_join(a, b).withColumn("share", F.round("share", 6))
+
+
 @query("q_two_hop", "select o_custkey as paper, count(distinct l_partkey) as datasets from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where p_size >= 40 and l_returnflag = 'R' group by 1")
 def two_hop(spark, d):
     """Paper to references that pass a filter to the datasets named there."""

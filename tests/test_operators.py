@@ -110,3 +110,23 @@ def test_stream_upsert(spark, tmp_path):
     q.awaitTermination()
     last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
     assert rows(spark.read.parquet(str(tmp_path / "out" / f"v{last}"))) == [(1, 0, False), (2, 1, False)]
+
+
+def test_word_overlap_of_whole_texts(spark, data):
+    """Every pair against plain sets of words, also those whose words lie beyond a document's first 200 characters."""
+    import re
+
+    from quillmark.plans import QUERIES
+
+    words = lambda t: {w for w in re.sub("[^a-z0-9]+", " ", t.lower()).split() if len(w) >= 4}
+    items, docs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("benchmark", "documents"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    want, late = {}, 0
+    for r in items.select("item_id", "text").collect():
+        w = words(r["text"] or "")
+        for i, t in texts.items():
+            if w and len(w & words(t)) / len(w) >= 0.5:
+                want[r["item_id"], i] = round(len(w & words(t)) / len(w), 6)
+                late += len(w & words(t[:200])) / len(w) < 0.5
+    got = {(r["title_id"], r["name_id"]): r["share"] for r in QUERIES["q_word_overlap_whole"](spark, data).collect()}
+    assert got == want and late > 0
