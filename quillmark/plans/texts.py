@@ -53,12 +53,30 @@ def quotes(spark, d):
     return m.select("doc_id", *(F.col("q")[i]["match_type"].alias(n) for i, n in enumerate(("as_is", "raised", "invented"))))
 
 
+@query("q_quotes_whole")
+def quotes_whole(spark, d):
+    """How quotes from the beginning, middle and end of every text are found, in all languages.
+
+    Each is taken as it is, in capitals, and with its blanks and its ASCII
+    punctuation taken out; a quote is null where nothing is left of it.
+    """
+    ship(spark)
+    docs = table(spark, d, "documents").where("text is not null")
+    n = F.char_length("text")
+    at = F.array(F.lit(1), F.floor(n / 2).cast("int") + 1, F.greatest(n - 39, F.lit(1)))
+    views = [lambda q: q, F.upper, lambda q: F.regexp_replace(q, r"\s+", ""), lambda q: F.regexp_replace(q, r"\p{Punct}+", "")]
+    quotes = F.flatten(F.transform(at, lambda p: F.array(*(F.nullif(v(F.substring(F.col("text"), p, F.lit(40))), F.lit("")) for v in views))))
+    found = Q.verified_quotes(quotes, F.col("text"))
+    m = docs.select("doc_id", F.posexplode(found).alias("place", "q"))
+    return m.select("doc_id", "place", "q.quote", "q.match_type", "q.offset")
+
+
 @query("q_contexts")
 def contexts(spark, d):
     """Citations of one paper in texts with a bibliography added, and their contexts."""
     ship(spark)
     refs = "\nReferences\n1. Adams A. First of the works on this. 10.1000/aaa\n2. Brown B. Second of the works on that. 10.1000/bbb\n"
-    docs = table(spark, d, "documents").where("char_length(text) > 200").select("doc_id", F.concat(F.lit("We follow Brown et al., 2019 and others [1,2]. "), "text", F.lit(refs)).alias("t"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("We follow Brown et al., 2019 and others [1,2]. "), "text", F.lit(refs)).alias("t"))
     found = N.contexts(F.col("t"), F.lit("10.1000/bbb"), F.lit("Second of the works on that"), F.array(F.lit("Brown"), F.lit("Cole"), F.lit("Dunn")), F.lit(2019))
     return docs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.method", "c.reference_number", "c.citation_position", F.char_length("c.context").alias("chars"))
 
@@ -68,7 +86,7 @@ def body_citations(spark, d):
     """From a mention in a bibliography to the contexts in the body that cite its entry."""
     ship(spark)
     tail = "\nReferences\n1. Adams A. First work. 2. Brown B. Data set ABC 000130. 2020. 3. Cole C. Third work."
-    docs = table(spark, d, "documents").where("char_length(text) > 200").select("doc_id", F.concat(F.lit("Recordings [1-2] were used. "), "text", F.lit(tail)).alias("t"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Recordings [1-2] were used. "), "text", F.lit(tail)).alias("t"))
     found = B.body_contexts(F.col("t"), F.locate("ABC 000130", F.col("t")) - 1, F.lit("ABC 000130"), 20)
     return docs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.reference_number", "c.start", "c.end")
 

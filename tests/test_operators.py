@@ -130,3 +130,27 @@ def test_word_overlap_of_whole_texts(spark, data):
                 late += len(w & words(t[:200])) / len(w) < 0.5
     got = {(r["title_id"], r["name_id"]): r["share"] for r in QUERIES["q_word_overlap_whole"](spark, data).collect()}
     assert got == want and late > 0
+
+
+def test_quotes_from_everywhere(spark, data):
+    """Texts of all languages and lengths, against the record of plain Python for each quote."""
+    from quillmark.functions.quotes import records
+    from quillmark.plans import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").collect()}
+    got = {}
+    for r in QUERIES["q_quotes_whole"](spark, data).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append((r["quote"], r["match_type"], r["offset"]))
+    assert set(got) == {i for i, t in texts.items() if t}
+    for i, rows in got.items():
+        assert rows == [(x["quote"], x["match_type"], x["offset"]) for x in records([q for q, _, _ in rows], texts[i])]
+        assert texts[i][:40] == rows[0][0] and any(q == texts[i][-40:] for q, _, _ in rows) and all(m != "not_found" for q, m, _ in rows if q in texts[i])
+    assert {"exact", "case_insensitive", "spacing_insensitive", "punctuation_insensitive"} <= {m for rows in got.values() for _, m, _ in rows}
+
+
+def test_short_texts_have_contexts(spark, data):
+    from quillmark.plans import QUERIES
+
+    short = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").where("char_length(text) <= 200").collect()}
+    for name in ("q_contexts", "q_body_citations"):
+        assert short & {r["doc_id"] for r in QUERIES[name](spark, data).collect()}, name
