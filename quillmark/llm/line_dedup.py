@@ -7,29 +7,32 @@ contain it exceeds a ratio. Lines are compared without surrounding blanks
 Defined cases: a null text stays null and has no lines; an empty text has one
 blank line; pages with a null host form one host; rows repeated under one id
 count as pages of their own; a host on which a line is found on fewer than
-``min_pages`` pages keeps that line whatever its share. Other columns of the
-input are ignored by counting and handed through unchanged by dropping.
+``min_pages`` pages keeps that line whatever its share; a text of any length
+is taken whole. Other columns of the input, of whatever name, are ignored by
+counting and handed through unchanged by dropping; columns added by ``counts``
+replace those of the same name. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.runtime import discard, ship, stored
+from quillmark.llm.runtime import discard, feed, ship, stored
 
 #: Production parameters. A host's languages share its pages, so lines of the smaller ones are on few of them in a hundred.
 RATIO, MIN_PAGES = 0.01, 3
-#: Up to so many (host, line) rows, 12 bytes each, are broadcast; more are joined by host and salt.
+#: Up to so many (host, line) rows are broadcast, 8 bytes each and each host's name once; more are joined by host and salt.
 BROADCAST_LINES = 1_000_000
 SALTS = 64
 BLANKS = " \t\n\x0b\x0c\r"
-_HOST, _LINE, _DROP, _SALT = "__host", "__line", "__drop", "__salt"
+_HOST, _LINE = "__host", "__line"
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -46,13 +49,19 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return counts.join(totals, F.col(_HOST).eqNullSafe(F.col("h"))).drop("h").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def _cleaned(text: str | None, drop: frozenset[int] | set[int]) -> tuple[str | None, int, int]:
+def _cleaned(text: str | None, drop: np.ndarray | None) -> tuple[str | None, int, int]:
+    """The text without the lines whose hashes are in drop, sorted; lines before, lines dropped."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
-    if not drop:
+    if drop is None or not len(drop):
         return text, len(lines), 0
-    kept = [x for x in lines if not (s := x.strip(BLANKS)) or xxhash.xxh64_intdigest(s.encode(), 42) not in drop]
+    bare = [x.strip(BLANKS) for x in lines]
+    hashes = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in bare], np.uint64)
+    bad = (drop[np.minimum(np.searchsorted(drop, hashes), len(drop) - 1)] == hashes).tolist()
+    if not any(bad):
+        return text, len(lines), 0
+    kept = [x for x, s, gone in zip(lines, bare, bad) if not gone or not s]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
@@ -65,44 +74,47 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     spark = docs.sparkSession
     ship(spark)
     found = stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts or ())])
+    given = feed(docs, [host, text], [(c, T.LongType()) for c in counts or ()])
+    kept, (host_at, text_at), place = given.kept, given.at, given.schema.fieldNames().index(text)
+
+    def cleaned(b: pa.RecordBatch, drops: Iterator[np.ndarray | None]) -> pa.RecordBatch:
+        rows = [_cleaned(t.as_py(), d) for t, d in zip(b.column(text_at), drops)]
+        columns = b.columns[:kept]
+        columns[place] = pa.array([r[0] for r in rows], pa.string())
+        columns += [pa.array([r[k] for r in rows], pa.int64()) for k in ((1, 2) if counts else ())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
+    names = given.schema.fieldNames()
     if found.count() <= BROADCAST_LINES:
-        by_host: dict[str | None, set[int]] = {}
-        for r in found.select(_HOST, _LINE).toLocalIterator():
-            by_host.setdefault(r[0], set()).add(r[1] & 0xFFFFFFFFFFFFFFFF)
+        by_host = spark.sparkContext.broadcast(_by_host(found.select(_HOST, _LINE).toArrow()))
         discard(found)
-        given = spark.sparkContext.broadcast(by_host)
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hosts = b.column(docs_at[host]).to_pylist()
-                yield _with_text(b, docs_at[text], [_cleaned(t, given.value.get(h, frozenset())) for h, t in zip(hosts, b.column(docs_at[text]).to_pylist())], counts)
+                yield cleaned(b, (by_host.value.get(h) for h in b.column(host_at).to_pylist()))
 
-        docs_at = {c: i for i, c in enumerate(docs.columns)}
-        return docs.mapInArrow(small, out)
+        return given.rows.mapInArrow(small, given.schema)
 
-    per_host = found.groupBy(_HOST).agg(F.collect_set(_LINE).alias(_DROP)).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.withColumn("__h", F.col(host)).withColumn("__s", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-    joined = salted.join(per_host, F.col("__h").eqNullSafe(F.col(_HOST)) & (F.col("__s") == F.col(_SALT)), "left").select(*docs.columns, _DROP)
-    last, at = len(docs.columns), docs.columns.index(text)
+    per_host = found.groupBy(F.col(_HOST).alias("h")).agg(F.collect_set(_LINE).alias("drop")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    columns = given.rows.columns
+    salted = given.rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{columns[host_at]}`").alias("host"), F.pmod(F.xxhash64(F.col(f"`{columns[text_at]}`")), F.lit(SALTS)).cast("int").alias("s"))
+    joined = salted.join(per_host, F.col("host").eqNullSafe(F.col("h")) & (F.col("s") == F.col("salt")), "left").select("row", "drop")
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            drops = b.column(last).to_pylist()
-            rows = [_cleaned(t, {x & 0xFFFFFFFFFFFFFFFF for x in d or ()}) for t, d in zip(b.column(at).to_pylist(), drops)]
-            yield _with_text(b.select(range(last)), at, rows, counts)
+            drops = (None if d.as_py() is None else np.sort(np.asarray(d.values, np.int64).view(np.uint64)) for d in b.column(1))
+            yield cleaned(pa.RecordBatch.from_struct_array(b.column(0)), drops)
 
-    return joined.mapInArrow(large, out)
+    return joined.mapInArrow(large, given.schema)
 
 
-def _with_text(b: pa.RecordBatch, at: int, rows: list[tuple[str | None, int, int]], counts: tuple[str, str] | None) -> pa.RecordBatch:
-    columns, names = list(b.columns), list(b.schema.names)
-    columns[at] = pa.array([r[0] for r in rows], pa.string())
-    if counts:
-        columns += [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]
-        names += counts
-    return pa.RecordBatch.from_arrays(columns, names)
+def _by_host(found: pa.Table) -> dict[str | None, np.ndarray]:
+    """The sorted line hashes of each host."""
+    host, line = found.column(0).combine_chunks().dictionary_encode("encode"), found.column(1).to_numpy().view(np.uint64)
+    number = host.indices.to_numpy()
+    order = np.lexsort((line, number))
+    bounds = np.searchsorted(number[order], np.arange(len(host.dictionary) + 1))
+    return {h: line[order[a:b]] for h, a, b in zip(host.dictionary.to_pylist(), bounds, bounds[1:])}
 
 
 def query(spark, sf_dir):

@@ -12,20 +12,25 @@ A group of g similar texts is not expanded into its pairs. Members of a band's
 bucket are compared with the bucket's least id; what that leaves in different
 components is compared pair by pair, inside small buckets by a join and inside
 large ones block against block inside a task, which emits only verified links
-that join two components. So no candidate is capped, rows stay in proportion
-to members, and components come out as if all pairs had been verified.
+that join two components. There a member's id and signature go out once for
+each block of its bucket; full sets stay in files, and a task reads those of
+the pairs that comparison leaves. So no candidate is capped, and components
+come out as if all pairs had been verified.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a text
 that is null, empty or without words has an empty set and links with nothing;
-rows that repeat an id stand for one document; a null id gets no component
-and is kept; other columns are ignored.
+texts of any length are read whole; rows that repeat an id stand for one
+document, which is linked by each of its texts; ids may be of any type that
+has an order; a null id gets no component and is kept; an empty table gives no
+rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 from math import ceil, comb, log
 
 import numpy as np
@@ -34,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import textops as tx
-from quillmark.llm.runtime import discard, ship, stored
+from quillmark.llm.runtime import discard, filesystem, new_path, ship, stored
 
-#: Up to so many ids, 8 bytes each, are broadcast to pick the texts to verify; more are joined by shuffle.
+#: Up to so many ids are broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Buckets up to SMALL members are compared by a join, larger ones in blocks of about BLOCK.
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 512
+#: Sets of 8 MB at most that a task comparing blocks keeps from one pair to the next.
+KEPT_SETS, KEPT_HASHES = 8, 1 << 20
 #: The low bits of a bucket's key are its band.
 BAND_MASK = 255
 
@@ -117,7 +124,11 @@ def sketches(docs: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFr
                     ["id", "n", "fp1", "fp2", "sig"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(sign, "id long, n long, fp1 long, fp2 long, sig binary")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(sign, f"id {_kind(docs, doc_id)}, n long, fp1 long, fp2 long, sig binary")
+
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
 
 def _blobs(rows: np.ndarray) -> pa.Array:
@@ -140,9 +151,9 @@ def _banded(reps: DataFrame, sim: Similarity) -> DataFrame:
             parts = _matrix(b.column(1), hashes).reshape(-1, bands, rows).astype(np.uint64)
             keys = tx.mix((tx.mix(parts * steps).sum(axis=2, dtype=np.uint64)) + tx.stream(24, bands))
             keys = keys & ~np.uint64(BAND_MASK) | np.arange(bands, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["bucket", "id"])
 
-    return reps.select("id", "sig").mapInArrow(cut, "bucket long, id long")
+    return reps.select("id", "sig").mapInArrow(cut, f"bucket long, id {_kind(reps, 'id')}")
 
 
 def _plausible(pairs: DataFrame, sketch: DataFrame, sim: Similarity) -> DataFrame:
@@ -161,20 +172,54 @@ def _plausible(pairs: DataFrame, sketch: DataFrame, sim: Similarity) -> DataFram
 
     sig = sketch.select("id", "sig")
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(prune, "a {0}, b {0}".format(_kind(sketch, "id")))
+
+
+def _texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, t) of the wanted ids."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
     """(id, s) with the full shingle set of each wanted id's text."""
-    wanted, n = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, sim.words
+    n = sim.words
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in tx.chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), pa.array([s.tobytes() for s in tx.shingle_sets(c, n)], pa.binary())], ["id", "s"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi")
-    return stored(texts.mapInArrow(full, "id long, s binary"), "sets")
+    return stored(_texts(docs, ids, doc_id, text).mapInArrow(full, f"id {_kind(docs, doc_id)}, s binary"), "sets")
+
+
+def _filed_sets(docs: DataFrame, ids: DataFrame, sim: Similarity, doc_id: str, text: str) -> DataFrame:
+    """(id, file, start, n): where each wanted id's full set is in files of the shared folder, one a task's attempt."""
+    n, folder = sim.words, new_path(docs.sparkSession, "set-files")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        name, at = f"{uuid.uuid4().hex}.u64", 0
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            for b in batches:
+                for c in tx.chunks(b.column(1)):
+                    sizes = []
+                    for s in tx.shingle_sets(c, n):
+                        out.write(s.tobytes())
+                        sizes.append(len(s))
+                    ends = at + np.cumsum(sizes)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), pa.array([f"{folder}/{name}"] * len(c)), pa.array(ends - sizes), pa.array(sizes, pa.int64())], ["id", "file", "start", "n"])
+                    at = int(ends[-1])
+
+    return stored(_texts(docs, ids, doc_id, text).mapInArrow(full, f"id {_kind(docs, doc_id)}, file string, start long, n long"), "set-places")
+
+
+@lru_cache(maxsize=KEPT_SETS)
+def _filed(file: str, start: int, n: int) -> np.ndarray:
+    fs, path = filesystem(file)
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read_at(8 * n, 8 * start), np.uint64)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, sim: Similarity) -> bool:
@@ -201,7 +246,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, doc_id: str, t
 
     sets = _full_sets(docs, ids, sim, doc_id, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    links = stored(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct(), "links")
+    links = stored(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a {0}, b {0}".format(_kind(docs, doc_id))).distinct(), "links")
     discard(pairs, ids, sets)
     return links
 
@@ -247,7 +292,9 @@ def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similari
 
     def compare(g: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(-1, hashes)
-        ids, comp, block = (g.column(n).to_numpy() for n in ("id", "comp", "block"))
+        ids, order = g.column("id").to_pylist(), np.empty(g.num_rows, np.int64)
+        order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        comp, block = g.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(), g.column("block").to_numpy()
         bucket, i, j = (g.column(n)[0].as_py() for n in ("bucket", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         alive, matches, done = comp[left][:, None] != comp[right][None, :], np.zeros((len(left), len(right)), np.int32), 0
@@ -256,9 +303,9 @@ def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similari
                 matches += sig[left, k][:, None] == sig[right, k][None, :]
             alive &= matches >= least
             done = n
-        x, y = np.nonzero(alive & (ids[left][:, None] < ids[right][None, :]) if i == j else alive)
-        order = np.argsort(-matches[x, y], kind="stable")
-        x, y = left[x[order]], right[y[order]]
+        x, y = np.nonzero(alive & (order[left][:, None] < order[right][None, :]) if i == j else alive)
+        best = np.argsort(-matches[x, y], kind="stable")
+        x, y = left[x[best]], right[y[best]]
         earlier = rows * (bucket & BAND_MASK)
         if earlier:
             first = np.concatenate([~(sig[x[k : k + 4096], :earlier] == sig[y[k : k + 4096], :earlier]).reshape(-1, earlier // rows, rows).all(axis=2).any(axis=1) for k in range(0, len(x), 4096)] or [np.zeros(0, bool)])
@@ -271,21 +318,36 @@ def _blocked(apart: DataFrame, sketch: DataFrame, docs: DataFrame, sim: Similari
                 c = parent[c]
             return c
 
-        sets, found = [np.frombuffer(s.as_buffer(), np.uint64) for s in g.column("s")], []
+        places, found = list(zip(*(g.column(n).to_pylist() for n in ("file", "start", "n")))), []
+
+        def whole(k: int) -> np.ndarray:
+            return (_filed if places[k][2] <= KEPT_HASHES else _filed.__wrapped__)(*places[k])
+
         for a, b in zip(x.tolist(), y.tolist()):
             p, q = top(comp[a]), top(comp[b])
-            if p != q and _linked(sets[a], sets[b], sim):
+            if p != q and _linked(whole(a), whole(b), sim):
                 parent[p] = q
-                found.append(sorted((int(ids[a]), int(ids[b]))))
+                found.append((ids[a], ids[b]) if order[a] < order[b] else (ids[b], ids[a]))
+        _filed.cache_clear()
         tx.relax()
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        kind = g.schema.field("id").type
+        return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
 
     large = apart.where(F.col("size") > SMALL)
-    sets = _full_sets(docs, stored(large.select("id").distinct(), "ids"), sim, doc_id, text)
+    places = _filed_sets(docs, stored(large.select("id").distinct(), "ids"), sim, doc_id, text)
     blocks = large.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = blocks.select("bucket", "id", "comp", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    return blocks.join(sketch.select("id", "sig").join(sets, "id"), "id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return blocks.join(sketch.select("id", "sig").join(places, "id"), "id").groupBy("bucket", "i", "j").applyInArrow(compare, "a {0}, b {0}".format(_kind(docs, doc_id))).distinct()
+
+
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links of ids that have several texts with the classes of these."""
+    several = rows.where("n > 0 and id is not null").groupBy("id").agg(*(f(c).alias(f"{k}{c}") for c in ("fp1", "fp2") for k, f in (("lo", F.min), ("hi", F.max))))
+    several = stored(several.where("lofp1 < hifp1 or lofp2 < hifp2").select("id"), "several")
+    if several.isEmpty():
+        return None
+    return rows.join(several, "id", "left_semi").join(classes, ["fp1", "fp2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,6 +365,9 @@ def near_duplicates(docs: DataFrame, sim: Similarity | None = None, doc_id: str
 
     heads = members.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(_plausible(heads, reps, sim), docs, sim, doc_id, text)
+    of_one = _of_one_id(rows, classes)
+    if of_one is not None:
+        links = links.unionAll(stored(of_one, "links"))
     comps = components(links)
     apart = _apart(members, comps)
     if apart.where(F.col("size") <= SMALL).limit(1).count():

@@ -14,14 +14,20 @@ A block is part of one task's input, so packing is a single map without
 shuffle or global state, each block is repeatable, and memory is bounded by
 BLOCK_TOKENS whatever the size of the table.
 
+Ids are the library's (`tokenizers`), made by `tiktoken` from the same file. Its
+pattern matcher gives up on blank runs of about a million characters, so runs
+of LONG_RUN are cut out first, at the places where the pattern would cut.
+
 Defined cases: a null or empty text is its end id alone; repeated rows and
-ids are documents of their own; a null id stays null; very long texts give
-many whole windows; an empty table gives no rows; other columns are ignored.
+ids are documents of their own; a null id stays null; very long texts, also
+of one letter or of blanks only, give many whole windows; an empty table gives
+no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,12 +45,18 @@ from quillmark.llm.runtime import ship
 WINDOW, END_ID = 1024, 0
 #: Ids of items held at once in a worker (4 bytes each), and rows of pieces sent at once.
 BLOCK_TOKENS, SEND_TOKENS = 4_000_000, 1_000_000
-#: Rounds of coordinate descent, and combinations improved in a round.
-ROUNDS, WIDTH = 60, 3000
+#: Least squares end when no combination's own best step takes more than TOLERANCE off the sum of squares, far less
+#: than a step that rounding can see. WIDTH combinations are tried at a time.
+TOLERANCE, WIDTH = 0.01, 3000
+#: Blank runs of so many characters are encoded apart.
+LONG_RUN = 100_000
+#: Fixed value: the characters that the pattern's \s stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
+@lru_cache(maxsize=4)
+def encoding(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
     """The vocabulary of a byte-level BPE .json file.
 
     Entries are ranked by id, which is right when merges are listed in the
@@ -58,7 +70,25 @@ def encoding(path: str) -> tiktoken.Encoding:
     if made != sorted(made):
         raise ValueError(f"{path}: ids do not follow the order of merges")
     ranks = {bytes(alphabet[ch] for ch in s): i for s, i in vocab.items() if s not in special}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids of a whole text of any length."""
+    tokens = encoding(path)
+    if len(text) < LONG_RUN or not _RUNS.search(text):
+        return tokens.encode_to_numpy(text, allowed_special="all")
+    out, specials = [], tokens.special_tokens_set
+    for part in re.split("(" + "|".join(map(re.escape, sorted(specials))) + ")", text) if specials else [text]:
+        at = 0
+        for run in [] if part in specials else _RUNS.finditer(part):
+            # the last blank before other characters is left to them; all before it is one piece
+            end = run.end() - (run.end() < len(part))
+            out.append(tokens.encode_to_numpy(part[at : run.start()]))
+            out.append(encoding(path, r"[\s\S]+").encode_to_numpy(part[run.start() : end]))
+            at = end
+        out.append(tokens.encode_to_numpy(part[at:], allowed_special="all"))
+    return np.concatenate(out)
 
 
 @lru_cache(maxsize=4)
@@ -72,13 +102,15 @@ def combinations(window: int) -> np.ndarray:
     return np.concatenate([pairs, np.stack([x[ok], y[ok], z[ok]], axis=1)]).astype(np.int32)
 
 
-def solve(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def solve(histogram: np.ndarray, window: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """(combinations, repeats) with repeats >= 0 minimising |A repeats - histogram|^2.
 
     Coordinate descent: a round takes the combinations of largest gain, skips
     those that share a length with one taken already, and minimises exactly
     over each of the others. Taken ones being disjoint, they do not disturb
     each other. It prefers few combinations used often to many used in part.
+    Each round lowers the convex sum of squares by the tolerance or more, so
+    rounds end by themselves; with the tolerance the result tends to the minimum.
     """
     columns = combinations(window)
     present = np.concatenate([[True], histogram[1:] > 0])
@@ -89,27 +121,22 @@ def solve(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     left = histogram.astype(float)
     left[0] = 0
     norm = ((columns[:, :, None] == columns[:, None, :]) & (columns[:, :, None] > 0)).sum(axis=(1, 2)).astype(float)
-    for _ in range(ROUNDS):
-        step = np.maximum(left[columns].sum(axis=1) / norm, -repeats)
-        gain = step * step * norm
+    while True:
+        toward = left[columns].sum(axis=1)
+        step = np.maximum(toward / norm, -repeats)
+        gain = step * (2 * toward - step * norm)
         best = np.argpartition(-gain, min(WIDTH, len(gain) - 1))[:WIDTH]
-        best = best[np.argsort(-gain[best], kind="stable")]
-        used, moved = {0}, 0.0
-        for j in best.tolist():
-            if gain[j] < 0.25:
-                break
-            lengths = columns[j].tolist()
-            if any(x in used and x for x in lengths):
-                continue
-            used.update(lengths)
-            repeats[j] += step[j]
-            moved += gain[j]
-            for x in lengths:
-                left[x] -= step[j]
-            left[0] = 0
-        if moved < 1:
-            break
-    return columns, repeats
+        best = best[gain[best] > tolerance]
+        if not len(best):
+            return columns, repeats
+        used = set()
+        for j in best[np.argsort(-gain[best], kind="stable")].tolist():
+            lengths = [x for x in columns[j].tolist() if x]
+            if used.isdisjoint(lengths):
+                used.update(lengths)
+                repeats[j] += step[j]
+                for x in lengths:
+                    left[x] -= step[j]
 
 
 class Block:
@@ -227,7 +254,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     out = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), *(T.StructField(n, long) for n in ("doc_tokens", "sequence_id", "offset"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoding(path)
         kind, rows = None, None
         doc_ids, totals, block = [], [], Block(window)
         for b in batches:
@@ -235,7 +261,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
                 kind = b.column(0).type
                 rows = _Out((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, kind, out.names)
             for i, value in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(tokens.encode_to_numpy(value.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype(np.uint32)
+                ids = np.append(token_ids(path, value.as_py() or ""), np.uint32(end_id)).astype(np.uint32)
                 at = len(doc_ids)
                 doc_ids.append(i)
                 totals.append(len(ids))

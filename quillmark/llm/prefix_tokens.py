@@ -13,8 +13,12 @@ prefix is a running sum, so truncation and budget questions need no encoding.
 Prefixes end inside whitespace runs and contractions, where the pieces of the
 prefix differ from those of the whole text; both are counted as the prefix
 alone would be. A special token's string counts one where it is complete, as
-the library does by default. Null texts count as empty: no bytes, no tokens,
-no changes. Repeated rows and other columns go through unchanged.
+the library does by default.
+
+Defined cases: null and empty texts have no bytes, no tokens and no changes;
+texts of any length are counted whole; repeated rows count each; null ids play
+no part; an empty table gives no rows; other columns go through, but for those
+named like the added ones, which take their place.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm.byte_bpe import CONTRACTIONS, PATTERN, byte_alphabet, tokenizer_path
-from quillmark.llm.runtime import ship
+from quillmark.llm.runtime import feed, ship
 
 #: A worker keeps the counts of up to twice so many pieces of up to so many characters.
 CACHED, CACHED_CHARS = 250_000, 40
@@ -200,9 +204,9 @@ def with_prefix_counts(docs: DataFrame, text: str = "text", path: str | None = N
     A single map. A None as third name leaves the stored changes out of the rows.
     """
     ship(docs.sparkSession)
-    path, at = path or tokenizer_path(), docs.columns.index(text)
-    keep = names[2] is not None
-    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), *([T.StructField(names[2], T.BinaryType())] if keep else [])])
+    path, keep = path or tokenizer_path(), names[2] is not None
+    given = feed(docs, [text], [(names[0], T.LongType()), (names[1], T.LongType()), *([(names[2], T.BinaryType())] if keep else [])])
+    kept, at, fields = given.kept, given.at[0], given.schema.fieldNames()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
@@ -215,10 +219,10 @@ def with_prefix_counts(docs: DataFrame, text: str = "text", path: str | None = N
                 totals.append(_total(d))
                 if keep:
                     stored.append(d)
-            columns = [*b.columns, pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())] + ([pa.array(stored, pa.binary())] if keep else [])
-            yield pa.RecordBatch.from_arrays(columns, out.names)
+            columns = [*b.columns[:kept], pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())] + ([pa.array(stored, pa.binary())] if keep else [])
+            yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return docs.mapInArrow(count, out)
+    return given.rows.mapInArrow(count, given.schema)
 
 
 def tokens_at(changes: Column, n_chars: Column) -> Column:
@@ -248,4 +252,5 @@ def chars_within(changes: Column, budget: int) -> Column:
 def query(spark, sf_dir):
     """op9: the token count of every document, and whether it passes the limit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_prefix_counts(docs, names=("n_bytes", "n_tokens", None)).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    counted = with_prefix_counts(docs).withColumn("chars_in_limit", chars_within(F.col("prefix_changes"), LIMIT))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "chars_in_limit")

@@ -12,8 +12,10 @@ Only texts enter a score. Defined cases: a null or empty text, or one shorter
 than a trigram, scores the share of label 1; several labels of one id count as their
 mean, rounded half up; labels other than 0 and 1, null ids and labels without a
 document are not learned from; with labels of one class or none, all score
-that class's share (1 without labels). Repeated rows score alike, and other
-columns are ignored or, in ``keep_good``, handed through.
+that class's share (1 without labels). Ids may be of any type; those of two
+types meet as text. Repeated rows score alike; texts of any length are read
+whole; an empty table gives no rows. Other columns are handed through, but for
+one named like the added score, which takes its place.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm import textops as tx
-from quillmark.llm.runtime import discard, ship, stored
+from quillmark.llm.runtime import discard, feed, ship, stored
 
 #: Labelled documents of each class to learn from, chosen by hash of id.
 SAMPLE = 2000
@@ -120,8 +122,10 @@ def fold(doc_id: Column, folds: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learn from labelled documents outside the held-out fold."""
     ship(docs.sparkSession)
+    alike = docs.schema[doc_id].dataType == labels.schema[doc_id].dataType
+    as_id = (lambda c: c) if alike else lambda c: c.cast("string")
     usable = labels.where(F.col(label).isin(0, 1) & (fold(F.col(doc_id), FOLDS) != HELD_FOLD))
-    one = usable.groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    one = usable.groupBy(as_id(F.col(doc_id)).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     one = stored(one, "labelled")
     n, n_one = one.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = n_one / n if n else 1.0
@@ -134,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 blobs = [x.astype(np.float16).tobytes() for x in np.minimum(term_counts(c), 6e4)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), b.column(2).slice(c.first, len(c)), pa.array(blobs, pa.binary())], ["id", "y", "x"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(chosen, "id").select("id", "t", "y")
-    got = texts.mapInArrow(count, "id long, y int, x binary").orderBy("id").limit(4 * sample).toArrow()
+    texts = docs.select(as_id(F.col(doc_id)).alias("id"), F.col(text).alias("t")).join(chosen, "id").select(F.xxhash64("id").alias("id"), "t", "y")
+    got = texts.mapInArrow(count, "id long, y int, x binary").orderBy("id", "y", "x").limit(4 * sample).toArrow()
     discard(one)
     y = np.array(got.column("y").to_pylist(), np.float32)
     x = np.empty((len(y), TERMS), np.float32)
@@ -159,14 +163,14 @@ def _scorer(docs: DataFrame, model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """The rows with the model's score; one map, no shuffle."""
     ship(docs.sparkSession)
-    at, scores = docs.columns.index(text), _scorer(docs, model)
-    out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    given, scores = feed(docs, [text], [(name, T.DoubleType())]), _scorer(docs, model)
+    kept, at, names = given.kept, given.at[0], given.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column(at)))], out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(scores(b.column(at)))], names)
 
-    return docs.mapInArrow(run, out)
+    return given.rows.mapInArrow(run, given.schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -5,14 +5,53 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmark.sources.session import ship
-
-__all__ = ["discard", "filesystem", "new_path", "shared_folder", "ship", "stored"]
+from quillmark.sources import session
 
 _FOLDERS: dict[str, str] = {}
+_TUNED: set[str] = set()
+#: Bytes of an Arrow batch on its way to a worker, where the session names no bound of its own. Rows alone do not bound it.
+BATCH_BYTES = 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on executors, and bound the Arrow batches they exchange by bytes."""
+    session.ship(spark)
+    sc, key = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sc.applicationId not in _TUNED:
+        _TUNED.add(sc.applicationId)
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, str(BATCH_BYTES))
+
+
+@dataclass
+class Feed:
+    """Rows for a map that adds columns: the first ``kept`` go through, ``at`` are the places of those it reads."""
+
+    rows: DataFrame
+    kept: int
+    at: list[int]
+    schema: T.StructType
+
+
+def feed(docs: DataFrame, reads: list[str], adds: list[tuple[str, T.DataType]]) -> Feed:
+    """What a map over docs needs to read some columns and add others.
+
+    An added column takes the place of an input column of the same name, in
+    whatever case, as ``withColumn`` does; one that is also read is still read.
+    """
+    taken = {n.lower() for n, _ in adds}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in taken]
+    names = [f.name for f in kept]
+    hidden = [c for c in reads if c not in names]
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), *(F.col(f"`{c}`").alias(f"__read{i}") for i, c in enumerate(hidden)))
+    at = [names.index(c) if c in names else len(names) + hidden.index(c) for c in reads]
+    return Feed(rows, len(kept), at, T.StructType([*kept, *(T.StructField(n, k) for n, k in adds)]))
 
 
 def shared_folder(spark: SparkSession) -> str:

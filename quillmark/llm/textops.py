@@ -19,9 +19,16 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: glibc's way to return free memory, where there is one.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+_TRIM = getattr(_LIBC, "malloc_trim", None)
+if hasattr(_LIBC, "mallopt"):
+    # blocks of a megabyte and more (M_MMAP_THRESHOLD, -3) go back to the system when freed: a worker that
+    # lives through many stages keeps no heap of its largest one
+    _LIBC.mallopt(-3, 1 << 20)
 #: Bytes of text worked on at once, and texts at most; a longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
+#: Powers kept for the next chunk; those for a longer text are made again.
+KEPT_POWERS = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,7 +64,9 @@ def _powers(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 16)
         steps = np.full(size, base, U64)
         steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps, dtype=U64)
+        have = np.cumprod(steps, dtype=U64)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -73,6 +73,27 @@ def test_odd_tables(spark):
     assert N.one_of_each(df, N.QUERY).count() == 3
 
 
+def test_one_id_with_two_texts(spark):
+    """A document is linked by each of its texts, also where another stands for its class."""
+    x, y = "a b c d e f g", "q r s t u v w"
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (7, y), (9, "other words are here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(df, N.QUERY).collect()} == {(3, 3), (5, 3), (7, 3), (9, 9)}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_ids_as_text_and_long_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "SMALL", 2)
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = corpus(4)
+    long = " ".join(f"v{k % 7919}" for k in range(400_000))
+    rows += [(1000, long), (1001, long + " end"), (1002, "other " + long)]
+    assert len(long) > 1 << 20
+    df = spark.createDataFrame([(f"k{i:04}", t, "x") for i, t in rows], "doc_id string, text string, component_id string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df, N.QUERY).collect()}
+    assert got == {f"k{i:04}": (n, f"k{c:04}") for i, (n, c) in brute(rows, 3, 85, 100).items()}
+    assert N.one_of_each(df, N.QUERY).count() == sum(f"k{c:04}" == i for i, (_, c) in ((i, (0, int(v[1][1:]))) for i, v in got.items()))
+
+
 def test_pruning_keeps_links():
     """A pair at the threshold is dropped with about the chosen probability only."""
     from math import comb

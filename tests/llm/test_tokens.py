@@ -36,6 +36,34 @@ def test_ids(text):
     assert T._total(T.counter(PATH).changes(text)) == len(ids(text))
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "x" + " \n" * 1_500_000 + "y", "<|endoftext|>" + "\t " * 600_000 + "<|endoftext|> a" + " " * 1_200_000 + " b", "a" * 3_000_000, "word and 12 " * 200_000], ids=range(6))
+def test_ids_of_very_long_texts(text):
+    assert P.token_ids(PATH, text).tolist() == ids(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts)
+def test_ids_with_runs_cut_out(text):
+    import re
+
+    runs, long = P._RUNS, P.LONG_RUN
+    P._RUNS, P.LONG_RUN = re.compile(f"[{P.WHITE}]{{2,}}"), 0
+    try:
+        assert P.token_ids(PATH, text).tolist() == ids(text)
+    finally:
+        P._RUNS, P.LONG_RUN = runs, long
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = "one two  three " * 100_000
+    df = spark.createDataFrame([("a", long, 5, "z"), ("b", None, 6, "y"), (None, "", 7, "x")], "doc_id string, text string, N_Tokens int, n_bytes string")
+    got = T.with_prefix_counts(df)
+    assert got.columns == ["doc_id", "text", "n_bytes", "n_tokens", "prefix_changes"]
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got.collect()} == {("a", len(long), len(ids(long))), ("b", 0, 0), (None, 0, 0)}
+    own = T.with_prefix_counts(df, names=("text", "n_tokens", None))
+    assert {(r["text"], r["n_tokens"]) for r in own.collect()} == {(len(long), len(ids(long))), (0, 0)}
+
+
 def test_questions(spark):
     df = spark.createDataFrame([(1, "The cat sat on the mat.", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, n_tokens_ string")
     got = T.with_prefix_counts(df).withColumn("at", T.tokens_at(F.col("prefix_changes"), F.lit(7))).withColumn("fit", T.chars_within(F.col("prefix_changes"), 2)).orderBy("doc_id").collect()
@@ -100,6 +128,42 @@ def test_block(lengths):
         assert np.concatenate([p for _, p in parts]).tolist() == list(range(n))
 
 
+def exact_least_squares(a, b):
+    """The minimum of |a x - b|^2 over x >= 0 by active sets (Lawson and Hanson)."""
+    n = a.shape[1]
+    free, x = np.zeros(n, bool), np.zeros(n)
+    while True:
+        w = a.T @ (b - a @ x)
+        w[free] = -np.inf
+        if free.all() or w.max() < 1e-9:
+            return float(((a @ x - b) ** 2).sum())
+        free[np.argmax(w)] = True
+        while True:
+            s = np.zeros(n)
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if s[free].min() > 1e-12:
+                break
+            bad = free & (s <= 1e-12)
+            x += (x[bad] / (x[bad] - s[bad])).min() * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = s
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_squares_against_exact_ones(seed):
+    rng = np.random.default_rng(seed)
+    window = 24
+    h = np.concatenate([[0], rng.integers(0, 60, window - 1) * (rng.random(window - 1) < 0.7), [0]]).astype(int)
+    columns, _ = P.solve(h, window)
+    a = np.zeros((window + 1, len(columns)))
+    for j, c in enumerate(columns):
+        np.add.at(a[:, j], c[c > 0], 1)
+    least = exact_least_squares(a, h.astype(float))
+    left = [float(((a @ P.solve(h, window, t)[1] - h) ** 2).sum()) for t in (P.TOLERANCE, 1e-9)]
+    assert left[1] == pytest.approx(least, abs=1e-3) and least - 1e-6 <= left[0] <= 1.02 * least + P.TOLERANCE * len(columns)
+
+
 def test_squares_are_small():
     h = np.zeros(1025, int)
     h[[512, 300, 724]] = [40, 10, 10]
