@@ -2,20 +2,28 @@
 
 A suffix automaton of labelled text of each language recognises all its
 substrings. A document is parsed into phrases, each the longest match with
-that text from where the last one ended; with n symbols learned, c phrases
-in N symbols cost c * log2(n) / N bits a symbol. The language of the fewest
-such normalised phrases wins; equal ones go to the first in sorted order.
+that text from where the last one ended; c phrases in N symbols cost c / N a
+symbol. The language of the fewest such normalised phrases wins; equal ones go
+to the first in sorted order. All languages are measured alike, so a language
+of which little was learned explains little.
 
 Symbols are A-Z in lower case, other letters' bytes as they are, and one
-separator for each run of other bytes. Documents are parsed in lanes of LANE
-symbols side by side, one vectorised step a symbol: a phrase ends where a lane
-ends, and all of each text is parsed. Automata are dense tables whose size is
-set by SYMBOLS, so what is broadcast does not grow with the input.
+separator for each run of other bytes. All of each text is parsed, in lanes of
+LANE symbols side by side, one vectorised step a symbol. A lane is parsed from
+the beginning of a phrase first; then the phrase that is open at the end of
+the lane before is carried into it, until both parses are in the same state,
+from where on they are one. So results are those of one parse of the text.
+
+Automata are dense tables of TOTAL symbols together, whatever the number of
+languages, so what is broadcast does not grow with the input. Learned text is
+drawn in pieces from many documents and places.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without learned languages so is every text; a null id is not held out and not
 learned from; null languages are not learned; repeated rows are predicted
-alike; other columns are ignored.
+alike; texts of any length are parsed whole; an empty table gives no rows;
+other columns go through, but for those named like the added ones, which take
+their place.
 """
 
 from __future__ import annotations
@@ -24,18 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm import textops as tx
 from quillmark.llm.quality_classifier import fold
-from quillmark.llm.runtime import ship
+from quillmark.llm.runtime import feed, ship
 
-#: Symbols learned of a language, documents drawn for them (by hash of id), and languages at most (the commonest).
-SYMBOLS, DRAWN, LANGUAGES = 16_384, 96, 64
-#: Drawn documents have up to so many bytes where there are such.
-DRAWN_BYTES = 4_000
+#: Symbols learned of a language at most, and of all together; languages share them evenly, as far as they have text.
+SYMBOLS, TOTAL = 16_384, 8 * 16_384
+#: Documents drawn of a language at least, by hash, and the length of the pieces taken from them.
+DRAWN, PIECE = 96, 512
 LANE, GROUP_BYTES = 2048, 6 << 20
 FOLDS, HELD_FOLD = 4, 2
 
@@ -97,32 +105,56 @@ class Automaton:
             for s, to in out.items():
                 table[state, self.columns[s]] = to * self.width
         self.table = table.ravel()
-        self.bits = float(np.log2(max(2, len(sequence))))
-
-    def phrases(self, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases in each lane; lanes[t] has the t-th symbols, of the first active[t] lanes."""
-        columns, table = self.columns, self.table
-        state, count = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
-        for t, m in enumerate(active.tolist()):
-            c = columns[lanes[t, :m]]
-            now = state[:m]
-            to = table[now + c]
-            stuck = to == 0
-            # a phrase ends before this symbol, or is this symbol, which no text learned has
-            count[:m] += stuck & (now > 0)
-            begin = table[c]
-            count[:m] += stuck & (begin == 0)
-            state[:m] = np.where(stuck, begin, to)
-        return count + (state > 0)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol, and phrases ended by it; in state 0 no phrase is open."""
+        c = self.columns[symbol]
+        to, begin = self.table[state + c], self.table[c]
+        stuck = to == 0
+        # a phrase ends before this symbol, or is this symbol, which no text learned has
+        return np.where(stuck, begin, to), (stuck & (state > 0)).astype(np.int32) + (stuck & (begin == 0))
+
+    def phrases(self, lanes: np.ndarray, size: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By lane, the phrases that end in it, and whether one is open at its end.
+
+        lanes[t] has the t-th symbols of the lanes, longest lanes first, size
+        their lengths; before has the lane that each continues, -1 for none.
+        """
+        n = lanes.shape[1]
+        begin, state, count = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for t, m in enumerate(np.searchsorted(-size, -np.arange(len(lanes)), "left").tolist()):
+            state[:m], ended = self._step(state[:m], lanes[t, :m])
+            count[:m] += ended
+        todo = np.flatnonzero(before >= 0)
+        while len(todo := todo[begin[todo] != state[before[todo]]]):
+            was, now = begin[todo], state[before[todo]]
+            begin[todo] = now
+            at, moved, t = todo, [], 0
+            while len(at):
+                symbol = lanes[t, at]
+                was, less = self._step(was, symbol)
+                now, more = self._step(now, symbol)
+                count[at] += more - less
+                t += 1
+                apart, ends = was != now, size[at] == t
+                over = apart & ends
+                state[at[over]] = now[over]
+                moved.append(at[over])
+                apart &= ~ends
+                at, was, now = at[apart], was[apart], now[apart]
+            todo = np.flatnonzero(np.isin(before, np.concatenate(moved)))
+        return count, state > 0
 
 
 class Languages:
-    def __init__(self, texts: dict[str, list[str]], limit: int):
+    """Automata of the texts of each language, of up to ``limits`` symbols."""
+
+    def __init__(self, texts: dict[str, list[str]], limits: dict[str, int]):
         self.names = sorted(texts)
         self.automata = []
         for name in self.names:
             c = next(tx.chunks(pa.array([" ".join(texts[name])]), 1 << 40))
-            self.automata.append(Automaton(symbols(c.data, c.offsets)[0][:limit]))
+            self.automata.append(Automaton(symbols(c.data, c.offsets)[0][: limits[name]]))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -142,61 +174,88 @@ class Languages:
         return names, np.array(scores)
 
     def _costs(self, seq: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Phrases a symbol of each text under each language."""
         lengths = np.diff(bounds)
         per = -(-lengths // LANE)
         text_of = np.repeat(np.arange(len(lengths)), per)
+        cost = np.zeros((len(lengths), len(self.names)))
+        if not len(text_of):
+            return cost
         nth = np.arange(len(text_of)) - np.repeat(np.cumsum(per) - per, per)
         start = bounds[:-1][text_of] + nth * LANE
         size = np.minimum(LANE, bounds[1:][text_of] - start)
         order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order) + 1, np.int64)
+        place[order], place[-1] = np.arange(len(order)), -1
+        before = place[np.where(nth > 0, np.arange(len(order)) - 1, -1)][order]
+        last = place[np.cumsum(per)[per > 0] - 1]
         text_of, start, size = text_of[order], start[order], size[order]
-        cost = np.zeros((len(lengths), len(self.names)))
-        if not len(size):
-            return cost
         lanes = np.zeros((len(size), int(size[0])), np.uint8)
         for row, a, n in zip(lanes, start.tolist(), size.tolist()):
             row[:n] = seq[a : a + n]
         lanes = np.ascontiguousarray(lanes.T)
-        active = np.searchsorted(-size, -np.arange(len(lanes)), "left")
         for k, a in enumerate(self.automata):
-            cost[:, k] = np.bincount(text_of, a.phrases(lanes, active), len(lengths)) * a.bits / np.maximum(lengths, 1)
-        return cost
+            count, open_ = a.phrases(lanes, size, before)
+            cost[:, k] = np.bincount(text_of, count, len(lengths))
+            cost[per > 0, k] += open_[last]
+        return cost / np.maximum(lengths, 1)[:, None]
+
+
+def _shares(have: list[int]) -> list[int]:
+    """How many symbols each language gets of TOTAL: an even share, or all it has where that is less."""
+    out, left = {}, TOTAL
+    for rank, i in enumerate(sorted(range(len(have)), key=have.__getitem__)):
+        out[i] = min(have[i], SYMBOLS, left // (len(have) - rank))
+        left -= out[i]
+    return [out[i] for i in range(len(have))]
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
-    """Automata of a bounded sample of each language's documents outside the held-out fold."""
-    ship(docs.sparkSession)
+    """Automata of a bounded sample of each language's documents outside the held-out fold.
+
+    About so many documents of a language are drawn by hash as hold twice its
+    share, and from each some pieces, evenly spread over its length.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     train = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (fold(F.col(doc_id), FOLDS) != HELD_FOLD))
     train = train.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    short = F.octet_length("t") <= DRAWN_BYTES
-    counts = train.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("n_short")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
-    texts: dict[str, list[str]] = {r["l"]: [] for r in counts}
-    if texts:
-        # about DRAWN documents of each language have a hash below its share
-        shares = F.lit(0.0)
-        for r in counts:
-            enough = r["n_short"] >= DRAWN
-            shares = F.when((F.col("l") == r["l"]) & (short if enough else F.lit(True)), F.lit(1.5 * DRAWN / (r["n_short"] if enough else r["n"]))).otherwise(shares)
-        drawn = train.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < shares * (1 << 30))
-        drawn = drawn.select("l", F.xxhash64("i", "t").alias("h"), F.left("t", F.lit(SYMBOLS)).alias("t")).orderBy("h", "t").limit(3 * DRAWN * LANGUAGES)
-        for r in drawn.collect():
-            if r["t"] not in texts[r["l"]]:
-                texts[r["l"]].append(r["t"])
-    return Languages({k: v for k, v in texts.items() if v}, SYMBOLS)
+    found = train.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size")).where("size > 0").orderBy("l").collect()
+    if not found:
+        return Languages({}, {})
+    shares = dict(zip((r["l"] for r in found), _shares([r["size"] for r in found])))
+    plan = []
+    for r in found:
+        want = 2 * shares[r["l"]]
+        draw = max(DRAWN, want / min(PIECE, r["size"] / r["n"]))
+        plan.append((r["l"], min(1.0, draw / r["n"]), want, int(np.ceil(want / (PIECE * min(r["n"], draw))))))
+    # one row a language
+    asked = F.broadcast(spark.createDataFrame(plan, "l string, share double, want int, most int"))
+    drawn = train.join(asked, "l").where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    size = F.char_length("t")
+    pieces = F.least("most", F.ceil(size / PIECE)).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), pieces), lambda k: F.substring("t", F.floor((k - 1) * size / pieces).cast("int") + 1, F.lit(PIECE)))
+    each = drawn.where(size > 0).select("l", "want", F.explode(cut).alias("t")).distinct().withColumn("h", F.xxhash64("t"))
+    rows = Window.partitionBy("l").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)
+    some = each.withColumn("sum", F.coalesce(F.sum(F.octet_length("t")).over(rows), F.lit(0))).where("sum < want")
+    texts: dict[str, list[str]] = {}
+    for r in some.select("l", "h", "t").orderBy("l", "h", "t").collect():
+        texts.setdefault(r["l"], []).append(r["t"])
+    return Languages(texts, shares)
 
 
 def identify(docs: DataFrame, model: Languages, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The rows with predicted language and score; one map, no shuffle."""
     ship(docs.sparkSession)
-    at, given = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    given, sent = feed(docs, [text], [(names[0], T.StringType()), (names[1], T.DoubleType())]), docs.sparkSession.sparkContext.broadcast(model)
+    kept, at, fields = given.kept, given.at[0], given.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, scores = given.value.predict(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], out.names)
+            found, scores = sent.value.predict(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(found, pa.string()), pa.array(scores, pa.float64())], fields)
 
-    return docs.mapInArrow(run, out)
+    return given.rows.mapInArrow(run, given.schema)
 
 
 def query(spark, sf_dir):

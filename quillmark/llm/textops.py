@@ -22,9 +22,10 @@ U64 = np.uint64
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
 _TRIM = getattr(_LIBC, "malloc_trim", None)
 if hasattr(_LIBC, "mallopt"):
-    # blocks of a megabyte and more (M_MMAP_THRESHOLD, -3) go back to the system when freed: a worker that
-    # lives through many stages keeps no heap of its largest one
-    _LIBC.mallopt(-3, 1 << 20)
+    # blocks of 32 MB and more go back to the system when freed (M_MMAP_THRESHOLD, -3), and so does free memory of
+    # over 128 MB at the end of the heap (M_TRIM_THRESHOLD, -1); relax() returns the rest after each batch
+    _LIBC.mallopt(-3, 32 << 20)
+    _LIBC.mallopt(-1, 128 << 20)
 #: Bytes of text worked on at once, and texts at most; a longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
 #: Powers kept for the next chunk; those for a longer text are made again.

@@ -4,12 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute_kn import scores
 
 from quillmark.llm import kneser_ney as kn
 from quillmark.llm import language_id as L
 from quillmark.llm import lm_scoring as M
+from quillmark.llm import textops as tx
 from quillmark.llm import url_templates as U
 
 
@@ -56,18 +58,65 @@ def brute_phrases(text, learned):
     return n
 
 
-def test_cross_parsing():
+@pytest.mark.parametrize("lane", [1, 3, 7, 2048])
+def test_cross_parsing(monkeypatch, lane):
+    """Whole texts of any number of lanes are parsed as one."""
+    monkeypatch.setattr(L, "LANE", lane)
     rng = random.Random(2)
-    for _ in range(40):
-        learned = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 40))]
-        a = L.Automaton(np.array(learned, np.int16))
-        lanes = [[rng.randrange(1, 6) for _ in range(rng.randrange(1, 30))] for _ in range(4)]
-        lanes.sort(key=len, reverse=True)
-        table = np.zeros((len(lanes[0]), 4), np.uint8)
-        for j, x in enumerate(lanes):
-            table[: len(x), j] = x
-        active = np.array([sum(len(x) > t for x in lanes) for t in range(len(lanes[0]))])
-        assert a.phrases(table, active).tolist() == [brute_phrases(x, learned) for x in lanes]
+    for _ in range(30):
+        learned = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) for _ in range(3)]
+        model = L.Languages({str(k): [x] for k, x in enumerate(learned)}, {str(k): 999 for k in range(3)})
+        texts = ["".join(rng.choice("abcde") for _ in range(rng.randrange(0, 60))) for _ in range(5)]
+        c = next(tx.chunks(pa.array(texts)))
+        got = model._costs(*L.symbols(c.data, c.offsets))
+        assert got.tolist() == [[pytest.approx(brute_phrases(x, y) / max(1, len(x))) for y in learned] for x in texts]
+
+
+def longest_matches(text, learned):
+    i = n = 0
+    while i < len(text):
+        k = i + 1
+        while k <= len(text) and text[i:k] in learned:
+            k += 1
+        i, n = max(k - 1, i + 1), n + 1
+    return n
+
+
+def test_long_texts_and_predictions_against_plain_parsing():
+    """Predictions and scores of texts of over 10,000 symbols, and short ones."""
+    rng = random.Random(7)
+    words = {x: ["".join(rng.choice(y) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for x, y in (("aa", "etaoin"), ("bb", "etrsxy"), ("cc", "lmnoe"))}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    learned = {"aa": say("aa", 600), "bb": say("bb", 600), "cc": say("cc", 3)}
+    texts = [say("aa", 3000), say("bb", 2500) + say("aa", 100), say("cc", 2500), say("aa", 4), "x" * 5000, say("bb", 700) * 4]
+    got, scores = L.Languages({k: [v] for k, v in learned.items()}, dict.fromkeys(learned, 1 << 20)).predict(pa.array(texts))
+    for t, name, score in zip(texts, got, scores):
+        costs = {k: longest_matches(t, v) / len(t) for k, v in learned.items()}
+        first, second = sorted(costs, key=lambda k: (costs[k], k))[:2]
+        assert name == first and score == pytest.approx(costs[second] / (costs[first] + costs[second]))
+
+
+def test_tiny_languages_do_not_win(spark):
+    english = [(i, f"the quick brown fox number {chr(97 + i % 26)} jumps over the lazy dog and sees what was there {'again ' * (i % 3)}", "en") for i in range(60)]
+    for junk in ("a", "ok", "hola amigo"):
+        df = spark.createDataFrame([*english, (100, junk, "zz"), (104, junk, "zz")], "doc_id long, text string, lang string")
+        got = {r["doc_id"]: r["lang_pred"] for r in L.identify(df, L.learn(df)).collect()}
+        assert {got[i] for i in range(60)} == {"en"} and {got[100], got[104]} <= {"en", "zz"}
+        many = [r["lang_pred"] for r in L.identify(spark.createDataFrame([(1, english[3][1] * 200)], "doc_id long, text string"), L.learn(df)).collect()]
+        assert many == ["en"]
+
+
+def test_more_languages_than_a_fixed_number(spark):
+    rng = random.Random(3)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for k in range(90)}
+    rows = [(n, " ".join(rng.choice(w) for _ in range(40)), k) for n, (k, w) in enumerate((k, w) for k, w in words.items() for _ in range(8))]
+    df = spark.createDataFrame([(f"d{i}", t, k, 0) for i, t, k in rows], "doc_id string, text string, lang string, Score int").repartition(3)
+    model = L.learn(df)
+    assert model.names == sorted(words) and sum(len(a.table) // a.width for a in model.automata) <= 2 * L.TOTAL + 90
+    out = L.identify(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    got = out.collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.98 * len(got)
 
 
 def test_languages_on_held_out_rows(spark):
