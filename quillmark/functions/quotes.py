@@ -9,20 +9,38 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that stand for others, and those that stand for nothing.
-SAME_AS = {
-    "'": "‘’‚‛",
-    '"': "“”„‟",
-    "-": "‐‑‒–—―−",
-    " ": "    ",
-    "": "​‌‍﻿",
-    "...": "…",
+# Characters, and what each stands for.
+FOLDED = {
+    "\u2018": "'",
+    "\u2019": "'",
+    "\u201a": "'",
+    "\u201b": "'",
+    "\u201c": '"',
+    "\u201d": '"',
+    "\u201e": '"',
+    "\u201f": '"',
+    "\u2010": "-",
+    "\u2011": "-",
+    "\u2012": "-",
+    "\u2013": "-",
+    "\u2014": "-",
+    "\u2015": "-",
+    "\u2212": "-",
+    "\u00a0": " ",
+    "\u2009": " ",
+    "\u202f": " ",
+    "\u2003": " ",
+    "\u200b": "",
+    "\u200c": "",
+    "\u200d": "",
+    "\ufeff": "",
+    "\u2026": "...",
 }
 # Names of tiers, strictest first, and of failure.
 TIERS = ("exact", "normalized", "case_insensitive", "spacing_insensitive", "punctuation_insensitive")
 NOT_FOUND = "not_found"
 
-_TABLE = str.maketrans({ch: to for to, chars in SAME_AS.items() for ch in chars})
+_TABLE = str.maketrans(FOLDED)
 
 
 class Views:

@@ -56,6 +56,20 @@ def binned_rates(events: DataFrame, observed: DataFrame, width: float, bins: int
     return out.select("bin", "events", "exposure", F.coalesce(F.try_divide(F.col("events") * per, F.col("exposure")), F.lit(0.0)).alias("rate"))
 
 
+def negative_binomial(rows: DataFrame, count: str) -> DataFrame:
+    """(n, mean, variance, r, p) by moments, over the population; r and p are null unless the variance exceeds the mean.
+
+    All from whole sums, so that a variance equal to the mean is seen as equal.
+    """
+    k = F.col(count).cast("decimal(18,0)")
+    sums = rows.agg(F.count(count).alias("n"), F.sum(k).alias("_a"), F.sum(k * k).alias("_b"))
+    n, a, b = (F.col(c).cast("decimal(38,0)") for c in ("n", "_a", "_b"))
+    spread, n_a = n * b - a * a, n * a
+    over = spread > n_a
+    d = lambda x: x.cast("double")
+    return sums.select("n", (d(a) / d(n)).alias("mean"), (d(spread) / (d(n) * d(n))).alias("variance"), F.when(over, d(a) * d(a) / d(spread - n_a)).alias("r"), F.when(over, d(n_a) / d(spread)).alias("p"))
+
+
 def counting_process(events: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """(key, start, stop, event): an interval up to each event and one to the end of observation."""
     rows = events.select(key, F.col("t"), F.lit(1).alias("event")).join(observed.select(key, F.col("t").alias("end")), key).where("t > 0 and t <= end").select(key, "t", "event")

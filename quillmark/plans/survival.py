@@ -121,12 +121,12 @@ def restart_groups(spark, d):
 
 @query(
     "q_nb_moments",
-    """with c as (select o_custkey, count(*) as k from orders group by 1) select count(*) as n, round(avg(k), 6) as mean, round(var_pop(k), 6) as variance, round(case when var_pop(k) > avg(k) then avg(k) * avg(k) / (var_pop(k) - avg(k)) end, 4) as r, round(case when var_pop(k) > avg(k) then avg(k) / var_pop(k) end, 6) as p from c""",
+    """with c as (select o_custkey, count(*) as k from orders group by 1), s as (select count(*) as n, sum(k)::double as a, sum(k * k)::double as b from c)
+    select n, round(a / n, 6) as mean, round((n * b - a * a) / (n * n), 6) as variance, round(case when n * b - a * a > n * a then a * a / (n * b - a * a - n * a) end, 4) as r, round(case when n * b - a * a > n * a then n * a / (n * b - a * a) end, 6) as p from s""",
 )
 def nb_moments(spark, d):
     c = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
-    m, v = F.avg("k"), F.var_pop("k")
-    return c.agg(F.count("*").alias("n"), F.round(m, 6).alias("mean"), F.round(v, 6).alias("variance"), F.round(F.when(v > m, m * m / (v - m)), 4).alias("r"), F.round(F.when(v > m, m / v), 6).alias("p"))
+    return S.negative_binomial(c, "k").select("n", *(F.round(x, k).alias(x) for x, k in (("mean", 6), ("variance", 6), ("r", 4), ("p", 6))))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Rules on literal values."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -106,7 +108,7 @@ def test_bibliography():
     assert sorted(entries) == [14, 15]
     assert M.number_by_title(entries, "Preconfigured dynamics in the hippocampus") == 15
     assert M.number_by_title(entries, "Too short") is None
-    assert M.number_by_doi(PAPER, {}, "10.1000/a15") == 15
+    assert M.number_by_doi(M.Paper(PAPER), {}, "10.1000/a15") == 15
 
 
 def test_two_bibliographies_take_the_fuller():
@@ -115,7 +117,7 @@ def test_two_bibliographies_take_the_fuller():
 
 
 def test_citations():
-    found = M.numbered_citations(PAPER, 15)
+    found = M.numbered_citations(M.Paper(PAPER), 15)
     assert PAPER.index("[12,14-16]") in found
     assert not any(PAPER[p:].startswith("t 15 s") for p in found)
     assert M.author_citations(PAPER, ["Huszár", "Li", "Wu"], 2021) == [PAPER.index("(Huszár"), PAPER.index("Huszár")]
@@ -124,6 +126,43 @@ def test_citations():
     assert "numbered_citation" in methods and "author_year" in methods
 
 
+@pytest.mark.parametrize(
+    ("text", "n", "at"),
+    [
+        ("as shown [3,5-7] here", 6, "[3"), ("as shown [3,5-7] here", 4, None), ("as [see 12a] or [ 12 ]", 12, "[ 12"), ("two (4, 8–10) of", 9, "(4"),
+        ("in (2020) only", 20, None), ("previously42 and", 42, "y42"), ("studies42,43.", 43, "s42"), ("cortex105,106", 106, "x105"), ("word5x", 5, None),
+        ("circuits 5 , 7 are", 5, "s 5"), ("for 30 s of", 30, None), ("the first 30, then", 30, None), ("(RRID) 62 using", 62, ") 62"), ("dynamics 11 – 15 of", 13, "11 –"),
+        ("band 11-15 Hz", 13, None), ("doi 10.1101 b 3-5.", 4, None), ("ends with 7", 7, "h 7"), ("no number", 7, None), ("", 1, None),
+    ],
+)
+def test_kinds_of_numbered_citations(text, n, at):
+    found = M.numbered_citations(M.Paper(text), n)
+    assert (text.index(at) in found) if at else not found
+
+
+def test_references():
+    dois = " ".join(f"10.1000/x{k}" for k in range(6))
+    text = "Body. " * 300 + "References\n" + dois
+    p = M.Paper(text)
+    assert p.in_references(len(text)) and not p.in_references(400) and p.references == text.index("10.1000")
+    assert M.Paper("a " * 600 + dois).in_references(1210) and not M.Paper("no DOIs").in_references(3)
+    assert M.number_by_doi(M.Paper("Text.\n7. Adams. 10.1000/x1"), {}, "10.1000/X1") == 7
+    assert M.number_by_doi(p, {}, "10.1000/x4") == 5 and M.number_by_doi(p, {}, "10.9/none") is None
+
+
+def test_word_windows_against_all_words():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        t = "".join(rng.choice("ab  \n") for _ in range(rng.randrange(0, 200)))
+        a = rng.randrange(len(t) + 1)
+        b, n = rng.randrange(a, len(t) + 1), rng.randrange(0, 6)
+        before, after = [m.start() for m in re.finditer(r"\S+", t[:a])], [b + m.end() for m in re.finditer(r"\S+", t[b:])]
+        got = M.word_window(t, a, b, n)
+        assert (got["start"], got["end"]) == (before[-n:][0] if before and n else a, after[:n][-1] if after and n else b)
+
+
 def test_windows():
     t = "one two three four five six"
     assert M.word_window(t, 8, 13, 1)["context"] == "two three four"
