@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import erf, exp, lgamma, log, sqrt
+from math import erf, erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,13 @@ def saturating(t, k, r):
     return k * (1 - np.exp(-r * t))
 
 
+def growth_richards(t, k, r, t0, nu):
+    return k / (1 + nu * np.exp(-r * (t - t0))) ** (1 / nu)
+
+
 def richards(t, k, r, t0, nu):
-    return k / (1 + np.exp(-r * (t - t0))) ** (1 / nu)
+    """A Richards curve that begins at 0."""
+    return growth_richards(t, k, r, t0, nu) - growth_richards(0.0, k, r, t0, nu)
 
 
 def quadratic(t, a, b):
@@ -27,23 +32,43 @@ def power_law(t, a, b):
     return a * np.maximum(t, 1e-9) ** b
 
 
-#: Curve, and starting values from the times and values to fit; all parameters stay positive.
+def logistic(t, k, r, t0):
+    return k / (1 + np.exp(-r * (t - t0)))
+
+
+#: Curve, starting values from the times and values to fit, and bounds of the parameters; without bounds they stay positive.
 CURVES = {
-    "saturating": (saturating, lambda t, v: (2 * v.max(), 1 / t.mean())),
-    "richards": (richards, lambda t, v: (1.5 * v.max(), 4 / t.max(), t.mean(), 1.0)),
-    "quadratic": (quadratic, lambda t, v: (v.max() / t.max(), 0.1 * v.max() / t.max() ** 2)),
-    "power": (power_law, lambda t, v: (v.max() / t.max(), 1.0)),
+    "saturating": (saturating, lambda t, v: (2 * v.max(), 1 / t.mean()), None),
+    "richards": (richards, lambda t, v: (1.5 * v.max(), 4 / t.max(), t.mean(), 1.0), None),
+    "quadratic": (quadratic, lambda t, v: (v.max() / t.max(), 0.1 * v.max() / t.max() ** 2), None),
+    "power": (power_law, lambda t, v: (v.max() / t.max(), 1.0), None),
+}
+# Bounds of the growth curves, by the last value; a Richards curve passes at least through that.
+GROWTH = {
+    "power": (power_law, lambda t, v: (10.0, 1.5), None),
+    "logistic": (logistic, lambda t, v: (1.5 * v[-1], 0.5, t[-1] / 2), lambda v: ((0.5 * v[-1], 0.01, 0.0), (5 * v[-1], 5.0, 50.0))),
+    "richards": (growth_richards, lambda t, v: (1.5 * v[-1], 0.5, t[-1] / 2, 1.0), lambda v: ((v[-1], 0.01, 0.0, 0.1), (5 * v[-1], 5.0, 50.0, 20.0))),
 }
 
 
-def least_squares(curve, start, t: np.ndarray, v: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Levenberg-Marquardt on logs of the parameters; (parameters, mean squared error)."""
-    p, damp = np.log(np.maximum(np.array(start, float), 1e-9)), 1e-2
-    error = lambda q: curve(t, *np.exp(np.clip(q, -30, 30))) - v
+def least_squares(curve, start, t: np.ndarray, v: np.ndarray, rounds: int = 200, bounds=None) -> tuple[np.ndarray, float]:
+    """Levenberg-Marquardt on logs of the parameters, or on logits of their places between bounds; (parameters, mean squared error)."""
+    if bounds is None:
+        values = lambda q: np.exp(np.clip(q, -30, 30))
+        p = np.log(np.maximum(np.array(start, float), 1e-9))
+    else:
+        low, high = (np.array(x, float) for x in bounds)
+        values = lambda q: low + (high - low) / (1 + np.exp(-np.clip(q, -30, 30)))
+        share = np.clip((np.array(start, float) - low) / (high - low), 1e-6, 1 - 1e-6)
+        p = np.log(share / (1 - share))
+    damp = 1e-2
+    error = lambda q: curve(t, *values(q)) - v
     e = error(p)
     for _ in range(rounds):
         jac = np.stack([(error(p + h) - e) / 1e-6 for h in np.eye(len(p)) * 1e-6], axis=1)
         a, g = jac.T @ jac, jac.T @ e
+        if not np.isfinite(a).all():
+            break
         step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -g, rcond=None)[0]
         new = error(p + step)
         if np.isfinite(new).all() and new @ new < e @ e:
@@ -55,31 +80,32 @@ def least_squares(curve, start, t: np.ndarray, v: np.ndarray, rounds: int = 200)
             damp *= 4
             if damp > 1e9:
                 break
-    return np.exp(p), float(e @ e / len(v))
+    return values(p), float(e @ e / len(v))
 
 
-def fit_curve(t: np.ndarray, v: np.ndarray, model: str = "auto") -> tuple[str, np.ndarray, float]:
-    """(model, parameters, BIC); auto takes the least BIC, and under three points a line through 0."""
-    if len(t) < 3:
-        slope = float((t @ v) / max(t @ t, 1e-12))
-        return "power", np.array([slope, 1.0]), float("nan")
+def fit_curve(t: np.ndarray, v: np.ndarray, model: str = "auto", curves: dict = CURVES) -> tuple[str, np.ndarray, float]:
+    """(model, parameters, BIC); auto takes the least BIC. Under three points, or where no fit is finite, a line through 0."""
     best = None
-    for name, (curve, start) in CURVES.items():
+    for name, (curve, start, bounds) in curves.items() if len(t) >= 3 else ():
         if model in ("auto", name):
-            p, mse = least_squares(curve, start(t, v), t, v)
-            bic = len(t) * log(max(mse, 1e-300)) + len(p) * log(len(t))
-            if best is None or bic < best[2]:
+            with np.errstate(all="ignore"):
+                p, mse = least_squares(curve, start(t, v), t, v, bounds=bounds and bounds(v))
+            bic = len(t) * log(max(mse, 1e-300)) + len(p) * log(len(t)) if np.isfinite(mse) else float("inf")
+            if np.isfinite(p).all() and bic < (best[2] if best else float("inf")):
                 best = (name, p, bic)
+    if best is None:
+        return "power", np.array([float((t @ v) / max(t @ t, 1e-12)), 1.0]), float("nan")
     return best
 
 
-def fitted(curve: DataFrame, group: str, t: str, v: str, model: str = "auto") -> DataFrame:
-    """(group, model, parameters, bic) of each group's curve."""
+def fitted(curve: DataFrame, group: str, t: str, v: str, model: str = "auto", growth: bool = False) -> DataFrame:
+    """(group, model, parameters, bic) of each group's curve, which is given in points already summed up."""
     ship(curve.sparkSession)
-    kind = curve.schema[group].dataType.simpleString()
+    kind, curves = curve.schema[group].dataType.simpleString(), GROWTH if growth else CURVES
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        name, p, bic = fit_curve(g[t].to_numpy(float), g[v].to_numpy(float), model)
+        g = g[g[t] > 0].sort_values(t) if growth else g.sort_values(t)
+        name, p, bic = fit_curve(g[t].to_numpy(float), g[v].to_numpy(float), model, curves)
         return pd.DataFrame({group: [key[0]], "model": [name], "parameters": [p.tolist()], "bic": [bic]})
 
     return curve.select(group, t, v).groupBy(group).applyInPandas(run, f"{group} {kind}, model string, parameters array<double>, bic double")
@@ -162,51 +188,56 @@ def poisson_interval(k: int, alpha: float = 0.05) -> tuple[float, float]:
     return low, chi_square_quantile(1 - alpha / 2, 2 * (k + 1)) / 2
 
 
-def kernel_rate(at: np.ndarray, events: np.ndarray, ends: np.ndarray, width: float) -> np.ndarray:
-    """Gaussian-kernel event rate at places, over the kernel's share of time at risk."""
-    phi = lambda u: 0.5 * (1 + np.vectorize(erf)(u / sqrt(2)))
-    top = np.exp(-0.5 * ((at[:, None] - events[None, :]) / width) ** 2).sum(axis=1) / (width * sqrt(2 * np.pi))
-    exposure = (phi((ends[None, :] - at[:, None]) / width) - phi((0 - at[:, None]) / width)).sum(axis=1)
-    return top / np.maximum(exposure, 1e-12)
-
-
 def count_fits(counts: dict[int, int]) -> dict[str, float]:
     """Poisson and negative binomial against a histogram of counts: dispersion test, likelihoods, BIC, expected zeros."""
     k, n = np.array(list(counts), float), np.array(list(counts.values()), float)
-    total = n.sum()
-    mean = float((k * n).sum() / total)
-    var = float((n * (k - mean) ** 2).sum() / total)
-    poisson = float((n * (k * log(max(mean, 1e-300)) - mean - np.array([lgamma(x + 1) for x in k]))).sum())
-    # of the dispersion test: the mean of ((y - m)^2 - y) / m against 0
+    total, first = n.sum(), float((k * n).sum())
+    mean = first / total
+    excess = total * float((k * k * n).sum()) - first * first
+    var = excess / (total * total)
+    if not mean:
+        return {"mean": 0.0, "variance": 0.0}
+    poisson = float((n * (k * log(mean) - mean - np.array([lgamma(x + 1) for x in k]))).sum())
+    # of the dispersion test: the mean of ((y - m)^2 - y) / m against 0, by its deviation over the population
     aux = ((k - mean) ** 2 - k) / mean
     aux_mean = float((n * aux).sum() / total)
-    aux_sd = sqrt(max(float((n * (aux - aux_mean) ** 2).sum() / max(total - 1, 1)), 1e-300))
-    out = {"mean": mean, "variance": var, "poisson": poisson, "poisson_bic": -2 * poisson + log(total), "dispersion_t": aux_mean / (aux_sd / sqrt(total)), "poisson_zeros": total * exp(-mean)}
-    if var > mean > 0 and total > 5:
+    aux_sd = sqrt(float((n * (aux - aux_mean) ** 2).sum() / total))
+    out = {"mean": mean, "variance": var, "poisson": poisson, "poisson_bic": -2 * poisson + log(total), "alpha": aux_mean / mean, "poisson_zeros": total * exp(-mean)}
+    if aux_sd > 1e-9:
+        out["dispersion_t"] = aux_mean / (aux_sd / sqrt(total))
+    if excess > total * first:
         r, p = mean**2 / (var - mean), mean / var
         nb = float((n * np.array([lgamma(x + r) - lgamma(r) - lgamma(x + 1) + r * log(p) + x * log(1 - p) for x in k])).sum())
-        out |= {"r": r, "p": p, "nb": nb, "nb_bic": -2 * nb + 2 * log(total), "lrt": 2 * (nb - poisson), "nb_zeros": total * p**r}
+        lrt = 2 * (nb - poisson)
+        out |= {"r": r, "p": p, "nb": nb, "nb_bic": -2 * nb + 2 * log(total), "lrt": lrt, "lrt_p": erfc(sqrt(max(lrt, 0) / 2)), "nb_zeros": total * p**r}
     return out
 
 
-def bootstrap_curve(delays: list[np.ndarray], ends: np.ndarray, at: np.ndarray, times: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the cumulative function when subjects are drawn again with their events."""
+def bootstrap_curve(delays: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], at: np.ndarray, times: int = 200, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the cumulative function at places, (times, how many) of events and of ends being drawn again independently.
+
+    Counts are drawn for the distinct times, so work does not grow with the
+    number of subjects. A drawn curve is joined by lines between its events.
+    """
     rng, rows = np.random.default_rng(seed), []
+    (t, d), (e, k) = ((x[0][np.argsort(x[0])], x[1][np.argsort(x[0])].astype(np.int64)) for x in (delays, ends))
     for _ in range(times):
-        pick = rng.integers(0, len(ends), len(ends))
-        obs = np.sort(ends[pick])
-        ev = np.sort(np.concatenate([delays[i] for i in pick])) if len(pick) else np.zeros(0)
-        risk = len(obs) - np.searchsorted(obs, ev, "left")
-        steps = np.cumsum(np.where(risk > 0, 1 / np.maximum(risk, 1), 0.0))
-        k = np.searchsorted(ev, at, "right")
-        rows.append(np.where(k > 0, steps[np.maximum(k - 1, 0)] if len(steps) else 0.0, 0.0))
+        drawn, stay = (rng.multinomial(n.sum(), n / n.sum()) for n in (d, k))
+        risk = np.concatenate([np.cumsum(stay[::-1])[::-1], [0]])[np.searchsorted(e, t, "left")]
+        live = (drawn > 0) & (np.cumsum(risk == 0) == 0)
+        curve = np.cumsum(drawn[live] / risk[live])
+        rows.append(np.interp(at, np.concatenate([[0.0], t[live]]), np.concatenate([[0.0], curve])))
     return np.percentile(rows, 2.5, axis=0), np.percentile(rows, 97.5, axis=0)
 
 
-def bootstrap_nb(counts: np.ndarray, times: int = 2000, seed: int = 0) -> dict[str, tuple[float, float]]:
-    """Bounds of the negative binomial's mean and r."""
-    rng = np.random.default_rng(seed)
-    draws = counts[rng.integers(0, len(counts), (times, len(counts)))]
-    m, v = draws.mean(axis=1), draws.var(axis=1)
-    r = np.where(v > m, m**2 / np.maximum(v - m, 1e-12), np.nan)
-    return {"mean": tuple(np.percentile(m, [2.5, 97.5])), "r": tuple(np.nanpercentile(r, [2.5, 97.5])) if np.isfinite(r).any() else (float("nan"),) * 2}
+def bootstrap_nb(counts: dict[int, int], times: int = 2000, seed: int = 42) -> dict[str, tuple[float, float]]:
+    """Bounds of the negative binomial's mean and r over draws whose variance exceeds the mean, from a histogram of counts."""
+    k, n = np.array(list(counts), float), np.array(list(counts.values()), np.int64)
+    draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), times)
+    m = draws @ k / n.sum()
+    v = draws @ (k * k) / n.sum() - m * m
+    over = (v > m + 1e-12) & (m > 0)
+    if not over.any():
+        return {"mean": (float("nan"),) * 2, "r": (float("nan"),) * 2}
+    m, v = m[over], v[over]
+    return {"mean": tuple(np.percentile(m, [2.5, 97.5])), "r": tuple(np.percentile(m**2 / (v - m), [2.5, 97.5]))}

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from math import erf, pi, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.ordering import range_of, running_total, running_totals
 
 
+#: Widths of a Gaussian kernel within which all of it is that a double can hold.
+REACH = 8.5
+
+
 def risk_sets(events: DataFrame, observed: DataFrame, time: str = "t") -> DataFrame:
     """(t, d, n) by event time: events then, and subjects observed up to then or longer.
 
@@ -56,6 +62,31 @@ def binned_rates(events: DataFrame, observed: DataFrame, width: float, bins: int
     return out.select("bin", "events", "exposure", F.coalesce(F.try_divide(F.col("events") * per, F.col("exposure")), F.lit(0.0)).alias("rate"))
 
 
+def smoothed_rate(events: DataFrame, observed: DataFrame, width: float, places: int = 200, z: float = 1.96) -> DataFrame:
+    """(t, rate, low, high) at evenly spaced places up to the longest observation.
+
+    The increments d / n of the cumulative function under a Gaussian kernel,
+    over the kernel's part inside the observed span; bounds by the sum of the
+    squares of each event's part. An event reaches the places within REACH
+    widths, beyond which a double holds nothing of it.
+    """
+    top = observed.agg(F.max("t")).first()[0]
+    if top is None or top <= 0:
+        return events.sparkSession.createDataFrame([], "t double, rate double, low double, high double")
+    top = float(top)
+    step, phi = top / (places - 1), lambda u: 0.5 * (1 + erf(u / sqrt(2)))
+    spots = [(i, i * step, max(phi((top - i * step) / width) - phi(-i * step / width), 1e-10)) for i in range(places)]
+    grid = events.sparkSession.createDataFrame(spots, "i int, at double, inside double")
+    edge = lambda x, f: F.least(F.greatest(f(x / step).cast("int"), F.lit(0)), F.lit(places - 1))
+    t = F.col("t").cast("double")
+    near = risk_sets(events, observed).select(t.alias("t"), (F.col("d") / F.col("n")).alias("a"), (F.col("d") / (F.col("n") * F.col("n"))).alias("b"), F.explode(F.sequence(edge(t - REACH * width, F.ceil), edge(t + REACH * width, F.floor))).alias("i"))
+    weight = F.exp(-0.5 * F.pow((F.col("i") * F.lit(step) - F.col("t")) / width, F.lit(2)))
+    sums = near.groupBy("i").agg(F.sum(F.col("a") * weight).alias("a"), F.sum(F.col("b") * weight * weight).alias("b"))
+    scale = F.lit(width * sqrt(2 * pi)) * F.col("inside")
+    rate, half = F.coalesce(F.col("a"), F.lit(0.0)) / scale, z * F.sqrt(F.coalesce(F.col("b"), F.lit(0.0))) / scale
+    return F.broadcast(grid).join(sums, "i", "left").select(F.col("at").alias("t"), rate.alias("rate"), F.greatest(rate - half, F.lit(0.0)).alias("low"), (rate + half).alias("high"))
+
+
 def negative_binomial(rows: DataFrame, count: str) -> DataFrame:
     """(n, mean, variance, r, p) by moments, over the population; r and p are null unless the variance exceeds the mean.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import bibliography as B
@@ -91,43 +92,96 @@ def body_citations(spark, d):
     return docs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.reference_number", "c.start", "c.end")
 
 
+def _in_days(spark, d):
+    day = lambda x: x.withColumn("t", F.col("t") / 86400)
+    return tuple(map(day, _histories(spark, d)))
+
+
 @query("q_kernel_rate")
 def kernel_rate(spark, d):
-    """Smoothed purchases a day at 50 places, by kind of hour the user began in."""
+    """Smoothed purchases a day with bounds, at 200 places."""
+    return S.smoothed_rate(*_in_days(spark, d), 2.0)
+
+
+@query("q_mcf_bootstrap")
+def mcf_bootstrap(spark, d):
+    """Bounds of the cumulative function by drawing users and delays again, at 100 places; times in whole days."""
     ship(spark)
-    ev, ob = _histories(spark, d)
-    both = ev.select("user_id", (F.col("t") / 86400).alias("t"), F.lit(1).alias("e")).unionAll(ob.select("user_id", (F.col("t") / 86400).alias("t"), F.lit(0).alias("e")))
+    days = [x.groupBy(F.ceil("t").cast("long").alias("t")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k, x in enumerate(_in_days(spark, d))]
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        ends, events = g.t[g.e == 0].to_numpy(), g.t[g.e == 1].to_numpy()
-        at = np.linspace(0, ends.max() if len(ends) else 1, 50)
-        return pd.DataFrame({"grp": key[0], "t": at, "rate": O.kernel_rate(at, events, ends, 2.0)})
+        ev, ob = ((g.t[g.kind == k].to_numpy(float), g.n[g.kind == k].to_numpy()) for k in (0, 1))
+        at = np.linspace(0, ev[0].max(initial=0), 100)
+        low, high = O.bootstrap_curve(ev, ob, at) if len(ev[0]) else (at, at)
+        return pd.DataFrame({"t": at, "low": low, "high": high})
+
+    # one row a day of observation
+    return days[0].unionAll(days[1]).groupBy(F.lit(0)).applyInPandas(run, "t double, low double, high double")
 
-    return both.withColumn("grp", F.col("user_id") % 10).groupBy("grp").applyInPandas(run, "grp long, t double, rate double")
+
+def _daily(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.datediff(F.col("ts").cast("date"), F.lit("2023-12-31").cast("date")).alias("t")).agg(F.count("*").alias("n"))
 
 
 @query("q_curve_fits")
 def curve_fits(spark, d):
     """The best curve for the growth of each kind of event."""
-    days = table(spark, d, "events").groupBy("event_type", F.datediff(F.col("ts").cast("date"), F.lit("2023-12-31").cast("date")).alias("t")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    curve = days.withColumn("v", F.sum("n").over(Window.partitionBy("event_type").orderBy("t")))
+    curve = _daily(spark, d).withColumn("v", F.sum("n").over(Window.partitionBy("event_type").orderBy("t")))
     return O.fitted(curve, "event_type", "t", "v")
 
 
-@query("q_count_fits")
+@query("q_growth_fits")
+def growth_fits(spark, d):
+    """The best of power law, logistic and Richards curve for the number of events of each kind, in years."""
+    curve = _daily(spark, d).select("event_type", (F.col("t") / 365.25).alias("t"), F.sum("n").over(Window.partitionBy("event_type").orderBy("t")).alias("v"))
+    return O.fitted(curve, "event_type", "t", "v", growth=True)
+
+
+_PER_CUSTOMER = "with c as (select c_nationkey, c_custkey, count(o_orderkey)::double as k from customer left join orders on c_custkey = o_custkey group by all)"
+
+
+def _orders_a_customer(spark, d):
+    """How many customers of a nation have how many orders."""
+    o = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return o.groupBy("c_nationkey", "c_custkey").agg(F.count("o_orderkey").alias("k")).groupBy("c_nationkey", "k").agg(F.count("*").alias("n"))
+
+
+COUNT_FITS = ("mean", "variance", "alpha", "dispersion_t", "poisson_bic", "poisson_zeros", "r", "p", "nb_bic", "nb_zeros", "lrt", "lrt_p")
+
+
+@query(
+    "q_count_fits",
+    _PER_CUSTOMER
+    + """, s as (select c_nationkey, count(*) as n, avg(k) as m, (count(*) * sum(k * k) - sum(k) * sum(k)) / (count(*) * count(*)) as v, count(*) * sum(k * k) - sum(k) * sum(k) > count(*) * sum(k) as over from c group by 1 having sum(k) > 0),
+    a as (select c_nationkey, n, m, v, over, k, ((k - m) * (k - m) - k) / m as aux, k * ln(m) - m - lgamma(k + 1) as lp, case when over then m * m / (v - m) end as r, case when over then m / v end as p from c join s using (c_nationkey)),
+    f as (select c_nationkey, n, m, v, r, p, avg(aux) as x, stddev_pop(aux) as sd, sum(lp) as lp, sum(case when over then lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(p) + k * ln(1 - p) end) as nb from a group by all)
+    select c_nationkey as nation, round(m, 6) as mean, round(v, 6) as variance, round(x / m, 6) as alpha, round(case when sd > 1e-9 then x / (sd / sqrt(n)) end, 4) as dispersion_t, round(-2 * lp + ln(n), 4) as poisson_bic, round(n * exp(-m), 4) as poisson_zeros, round(r, 4) as r, round(p, 6) as p,
+    round(-2 * nb + 2 * ln(n), 4) as nb_bic, round(n * power(p, r), 4) as nb_zeros, round(2 * (nb - lp), 4) as lrt from f""",
+)
 def count_fits(spark, d):
     """Poisson and negative binomial fits of orders a customer, by nation."""
     ship(spark)
-    o = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    k = o.groupBy("c_nationkey", "c_custkey").agg(F.count("o_orderkey").alias("k")).groupBy("c_nationkey", "k").agg(F.count("*").alias("n"))
+    names = [x for x in COUNT_FITS if x != "lrt_p"]
+    digits = {"mean": 6, "variance": 6, "alpha": 6, "p": 6}
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         f = O.count_fits(dict(zip(g.k, g.n)))
-        return pd.DataFrame([{"nation": key[0], **{c: f.get(c) for c in ("mean", "variance", "r", "p", "poisson_bic", "nb_bic", "lrt", "dispersion_t")}}])
+        return pd.DataFrame([{"nation": key[0], **{c: f.get(c) for c in names}}]) if f["mean"] else pd.DataFrame({"nation": [], **{c: [] for c in names}})
+
+    found = _orders_a_customer(spark, d).groupBy("c_nationkey").applyInPandas(run, "nation int, " + ", ".join(f"{c} double" for c in names))
+    return found.select("nation", *(F.round(F.nanvl(c, F.lit(None)), digits.get(c, 4)).alias(c) for c in names))
+
+
+@query("q_nb_bootstrap")
+def nb_bootstrap(spark, d):
+    """Bounds of the negative binomial's mean and r by drawing customers again, by nation."""
+    ship(spark)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        b = O.bootstrap_nb(dict(zip(g.k, g.n)))
+        return pd.DataFrame([(key[0], *b["mean"], *b["r"])], columns=["nation", "mean_low", "mean_high", "r_low", "r_high"])
 
-    return k.groupBy("c_nationkey").applyInPandas(run, "nation int, mean double, variance double, r double, p double, poisson_bic double, nb_bic double, lrt double, dispersion_t double")
+    return _orders_a_customer(spark, d).groupBy("c_nationkey").applyInPandas(run, "nation int, mean_low double, mean_high double, r_low double, r_high double")
 
 
 @query("q_recurrent_regression")
@@ -155,4 +209,6 @@ def poisson_bounds(spark, d):
     def bounds(k: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([O.poisson_interval(int(x)) for x in k], columns=["low", "high"])
 
-    return n.withColumn("b", bounds("n")).select("day", "n", "b.low", "b.high")
+    # once a different count, of which there are far fewer than days and groups
+    found = n.select("n").distinct().withColumn("b", bounds("n"))
+    return n.join(found, "n").select("day", "n", "b.low", "b.high")

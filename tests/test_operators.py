@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import merging as M
+from quillmark.operators import models as O
 from quillmark.operators import search as S
 from quillmark.operators import survival as V
 from quillmark.operators.ordering import global_position, running_total
@@ -154,3 +156,90 @@ def test_short_texts_have_contexts(spark, data):
     short = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").where("char_length(text) <= 200").collect()}
     for name in ("q_contexts", "q_body_citations"):
         assert short & {r["doc_id"] for r in QUERIES[name](spark, data).collect()}, name
+
+
+def test_smoothed_rate_against_plain_sums(spark):
+    """Every event's increment under the kernel, at every place, in plain Python."""
+    from math import erf, exp, pi, sqrt
+
+    from quillmark.operators import survival as S
+
+    ev, ob, width = [1.0, 2.5, 2.5, 6.0, 9.0, 14.0, 40.0], [3.0, 7.0, 8.0, 10.0, 12.0, 30.0], 1.5
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "t double")
+    got = S.smoothed_rate(frame(ev), frame(ob), width).orderBy("t").collect()
+    top, phi = max(ob), lambda u: 0.5 * (1 + erf(u / sqrt(2)))
+    assert len(got) == 200 and got[-1]["t"] == pytest.approx(top)
+    for i, r in enumerate(got):
+        at = i * top / 199
+        inside = max(phi((top - at) / width) - phi(-at / width), 1e-10)
+        rate = var = 0.0
+        for t in ev:
+            n = sum(o >= t for o in ob)
+            if n:
+                w = exp(-0.5 * ((at - t) / width) ** 2) / (width * sqrt(2 * pi) * inside)
+                rate, var = rate + w / n, var + (w / n) ** 2
+        want = (rate, max(rate - 1.96 * sqrt(var), 0), rate + 1.96 * sqrt(var))
+        assert (r["rate"], r["low"], r["high"]) == tuple(pytest.approx(x, abs=1e-12) for x in want)
+    assert S.smoothed_rate(frame(ev), frame([]), width).count() == 0
+
+
+def test_bootstraps_against_drawing_rows():
+    """Draws of counts have the bounds that draws of single rows have."""
+    rng = np.random.default_rng(0)
+    delays, ends, at = rng.integers(1, 40, 150).astype(float), rng.integers(20, 60, 80).astype(float), np.linspace(0, 39, 100)
+    curves = []
+    for _ in range(600):
+        e, t = np.sort(rng.choice(ends, len(ends))), np.sort(rng.choice(delays, len(delays)))
+        risk = (e[None, :] >= t[:, None]).sum(axis=1)
+        stop = len(t) if risk.all() else int(np.argmin(risk))
+        total = np.cumsum(1 / risk[:stop])
+        last = np.flatnonzero(np.append(t[1:stop] != t[: stop - 1], True))
+        curves.append(np.interp(at, np.append(0, t[:stop][last]), np.append(0, total[last])))
+    found = O.bootstrap_curve(np.unique(delays, return_counts=True), np.unique(ends, return_counts=True), at, 600)
+    for q, got in zip((2.5, 97.5), found):
+        want = np.percentile(curves, q, axis=0)
+        assert np.abs(got - want).max() < 0.08 * max(1, want.max())
+    counts = rng.negative_binomial(1.5, 0.3, 300)
+    r, m = [], []
+    for _ in range(2000):
+        x = rng.choice(counts, len(counts))
+        if x.var() > x.mean() > 0:
+            m.append(x.mean())
+            r.append(x.mean() ** 2 / (x.var() - x.mean()))
+    got = O.bootstrap_nb(dict(zip(*(v.tolist() for v in np.unique(counts, return_counts=True)))))
+    assert got["mean"] == pytest.approx(tuple(np.percentile(m, [2.5, 97.5])), rel=0.05) and got["r"] == pytest.approx(tuple(np.percentile(r, [2.5, 97.5])), rel=0.12)
+    assert np.isnan(O.bootstrap_nb({3: 10})["r"]).all()
+
+
+def test_growth_curves():
+    t = np.linspace(0.1, 9, 80)
+    for name, v in (("logistic", O.logistic(t, 900.0, 1.1, 4.0)), ("power", O.power_law(t, 12.0, 1.6)), ("richards", O.growth_richards(t, 700.0, 0.9, 3.0, 4.0))):
+        v = v + 0.002 * v.max() * np.cos(37 * np.arange(80))
+        found, p, _ = O.fit_curve(t, v, curves=O.GROWTH)
+        curve = O.GROWTH[found][0]
+        assert found == name and np.abs(curve(t, *p) - v).max() < 0.01 * v.max()
+    assert O.fit_curve(np.array([1.0, 2.0]), np.array([2.0, 4.0]))[1].tolist() == [2.0, 1.0]
+    assert O.fit_curve(np.array([1.0, 2.0, 3.0]), np.array([np.inf, 1.0, 2.0]), curves={"power": O.CURVES["power"]})[0] == "power"
+
+
+def test_variance_equal_to_the_mean(spark):
+    from quillmark.operators import survival as S
+
+    df = spark.createDataFrame([(0,), (2,), (0,), (2,), (None,)], "k int")
+    same = S.negative_binomial(df, "k").first()
+    assert (same["n"], same["mean"], same["variance"], same["r"], same["p"]) == (4, 1.0, 1.0, None, None)
+    more = S.negative_binomial(spark.createDataFrame([(0,), (4,)], "k int"), "k").first()
+    assert (more["r"], more["p"]) == (2.0, 0.5)
+    f = O.count_fits({0: 2, 2: 2})
+    assert "r" not in f and f["mean"] == f["variance"] == 1.0
+
+
+def test_poisson_bounds_of_the_query(spark, data):
+    """At each bound the tail of the Poisson distribution, summed term by term, is 2.5 %."""
+    from math import exp, lgamma, log
+
+    from quillmark.plans import QUERIES
+
+    tail = lambda k, m: sum(exp(i * log(m) - m - lgamma(i + 1)) for i in range(k + 1))
+    for r in QUERIES["q_poisson_bounds"](spark, data).collect():
+        assert tail(r["n"], r["high"]) == pytest.approx(0.025, abs=1e-6) and 1 - tail(r["n"] - 1, r["low"]) == pytest.approx(0.025, abs=1e-6)
