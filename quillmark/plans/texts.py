@@ -116,7 +116,7 @@ def mcf_bootstrap(spark, d):
         return pd.DataFrame({"t": at, "low": low, "high": high})
 
     # one row a day of observation
-    return days[0].unionAll(days[1]).groupBy(F.lit(0)).applyInPandas(run, "t double, low double, high double")
+    return days[0].unionAll(days[1]).withColumn("all", F.col("n") > 0).groupBy("all").applyInPandas(run, "t double, low double, high double")
 
 
 def _daily(spark, d):
