@@ -144,6 +144,13 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    if len(values):
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        yield from zip(values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)])
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """The modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from n[k-1] keys of count k, k to 4."""
     n1, n2, n3, n4 = (float(x) for x in n)

@@ -1,5 +1,6 @@
 """Base rules against plain Python, probabilities that sum to one, verdicts and classifier on held-out rows."""
 
+import math
 import random
 import re
 import zlib
@@ -7,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillmark.llm import kneser_ney as kn
 from quillmark.llm import quality_classifier as C
 from quillmark.llm import quality_rules as R
 from quillmark.llm import textops as tx
@@ -39,13 +42,99 @@ def test_base(values, size):
     assert got == [brute_base(v) for v in values]
 
 
-def test_probabilities_sum_to_one():
-    c = next(tx.chunks(pa.array(["abracadabra abba", "cab", "dada"])))
-    keys, counts = np.unique(R.ngrams(c), return_counts=True)
-    arrays = R.Estimate(keys, counts.astype(np.uint64)).arrays
-    for context in (0, int.from_bytes(b"abr", "big"), int.from_bytes(b"zzz", "big"), int.from_bytes(b"ada", "big")):
-        every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
-        assert abs(np.exp(R.log_probabilities(arrays, every)).sum() - 1) < 1e-5
+def brute_model(texts, order=4):
+    """p(byte | bytes before) by the textbook: continuation counts below the highest order, discounts by counts of counts."""
+    levels = {order: Counter()}
+    for t in texts:
+        raw = bytes(order - 1) + t.encode()
+        levels[order].update(raw[i : i + order] for i in range(len(t.encode())))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    d, after = {}, {}
+    for k, found in levels.items():
+        n = [sum(v == c for v in found.values()) for c in (1, 2, 3, 4)]
+        d[k] = kn.discounts(n)
+        after[k] = {}
+        for g, c in found.items():
+            after[k].setdefault(g[:-1], []).append(c)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, lower = len(g), p(g[1:])
+        seen = after[k].get(g[:-1])
+        if not seen:
+            return lower
+        c = levels[k][g]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(x, 3)] for x in seen) * lower) / sum(seen)
+
+    return p
+
+
+def perplexities(rows):
+    by = {}
+    for _, t, lang in rows:
+        by.setdefault(lang or "", []).append(t or "")
+    models, out = {k: brute_model(v) for k, v in by.items()}, []
+    for _, t, lang in rows:
+        raw = bytes(3) + (t or "").encode()
+        logs = [math.log(models[lang or ""](raw[i : i + 4])) for i in range(len(raw) - 3)]
+        out.append(-sum(logs) / len(logs) if logs else None)
+    return out
+
+
+def verdicts(rows, logs):
+    """kept of each row, from its log perplexity, by sorting all values of a language."""
+    base = [brute_base(t) for _, t, _ in rows]
+    failed = [b[0] < 20 or 100 * b[4] > 30 * b[0] for b in base]
+    size = [len((t or "").encode()) for _, t, _ in rows]
+    names = [lang or "" for _, _, lang in rows]
+
+    def bands(values, shares):
+        def pick(of):
+            v = sorted(round(values[i] / R.GRID) for i in of)
+            return [v[max(0, math.ceil(s * len(v)) - 1)] * R.GRID if v else 0.0 for s in shares], len(v)
+
+        used = [i for i in range(len(rows)) if not failed[i] and logs[i] is not None]
+        whole = pick(used)[0]
+        own = {x: pick([i for i in used if names[i] == x]) for x in set(names)}
+        return {x: [(n * a + R.FEW * b) / (n + R.FEW) for a, b in zip(v, whole)] for x, (v, n) in own.items()}
+
+    middle = bands(logs, [0.5])
+    off = [None if v is None else (v - middle[x][0]) / math.sqrt(1 + R.NOISE_BYTES / max(n, 1)) for v, x, n in zip(logs, names, size)]
+    quarter = bands(off, [0.25, 0.75])
+    return [not f and v is not None and a - R.REACH * (b - a) <= v <= b + R.REACH * (b - a) for f, v, (a, b) in ((f, v, quarter[x]) for f, v, x in zip(failed, off, names))]
+
+
+@pytest.mark.parametrize("shard_bytes", [R.SHARD_BYTES, 2000])
+def test_perplexity_and_verdict_by_brute_force(spark, shard_bytes):
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 8))) for _ in range(40)] for x, a in (("en", "etaoinsr"), ("fr", "éèauilmt"))}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randrange(5, 60))), x) for i, x in enumerate(rng.choice(["en", "en", "fr"]) for _ in range(90))]
+    rows += [(200 + i, "".join(rng.choice("#@!?Zq9 ") for _ in range(150)), x) for i, x in enumerate(["en", "fr", None, "xx", ""])]
+    rows += [(300, None, "en"), (301, "", None), (302, "ab " * 60, "en"), (303, rows[0][1], "en"), (303, rows[0][1], "en")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, N_Words string").repartition(4)
+    got = R.judge(R.measure(df, R.train(df, shard_bytes=shard_bytes))).collect()
+    want = perplexities(rows)
+    exact = {}
+    for r, v, k in zip(rows, want, verdicts(rows, want)):
+        exact.setdefault(r[0], []).append((v, k))
+    assert len(got) == len(rows)
+    for r in got:
+        v, k = exact[r["doc_id"]][0]
+        assert r["log_perplexity"] == (None if v is None else pytest.approx(v, abs=2e-6))
+        assert r["kept"] == k
+    assert {r["kept"] for r in got} == {True, False}
+
+
+def test_one_very_long_text_and_names(spark):
+    long = "plain words that go on and on, number after number. " * 25_000
+    rows = [(f"k{i}", f"some text about {i} things and the words that come with it, again and again " * 3, "en") for i in range(40)] + [("long", long, "en"), (None, None, None)]
+    df = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id string, text string, lang string, kept int, log_perplexity string")
+    out = R.judge(R.measure(df, R.train(df)))
+    assert out.columns.count("kept") == 1 and out.columns.count("log_perplexity") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 42 and got["long"]["n_bytes"] == len(long) and got["long"]["base_failed"]
 
 
 def test_rules(spark):
@@ -82,6 +171,45 @@ def test_classifier_on_held_out_rows(spark):
     assert (m.predicted[m.quality == 1] == 1).mean() > 0.97
 
 
+def test_scores_by_brute_force(spark, data):
+    """Terms, projection and votes of each document, one by one, against all labelled vectors."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = C.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in C.score(docs.select("doc_id", "text"), model).collect()}
+    unit = model.vectors.astype(float)
+    sampled = model.labels.mean()
+    for r in docs.select("doc_id", "text").limit(60).collect():
+        raw = (r["text"] or "").encode()
+        counts = Counter(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 20 for i in range(len(raw) - 2))
+        words = WORD.findall(raw.decode())
+        x = np.zeros(C.TERMS)
+        for k, n in counts.items():
+            x[k] = math.log1p(n) * model.weights[k]
+        x[-1] = 0
+        x /= max(np.linalg.norm(x), 1e-9)
+        x[-1] = C.REPEATS * sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+        if not counts and not x[-1]:
+            assert got[r["doc_id"]] == pytest.approx(model.share)
+            continue
+        q = x @ model.basis
+        near = sorted(((float(v @ q) / max(np.linalg.norm(q), 1e-9), y) for v, y in zip(unit, model.labels)), reverse=True)[: C.NEIGHBOURS]
+        one = sum(math.exp(C.SHARPNESS * (c - 1)) for c, y in near if y) * model.share / sampled
+        zero = sum(math.exp(C.SHARPNESS * (c - 1)) for c, y in near if not y) * (1 - model.share) / (1 - sampled)
+        assert got[r["doc_id"]] == pytest.approx(one / (one + zero), abs=0.02)
+
+
+def test_classifier_with_text_ids_and_clashes(spark):
+    rows = [(f"d{i}", "good plain words here " * 3 if i % 2 else "b@d $$$ ### " * 4, "x") for i in range(60)] + [("long", "good plain words here " * 60_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, Score string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, quality int")
+    out = C.score(docs, C.fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "score"]
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert min(got["d1"], got["long"]) > 0.7 > 0.3 > got["d2"]
+    other = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert len(C.fit(docs, other).labels) == 0
+
+
 def test_classifier_odd_rows(spark):
     docs = spark.createDataFrame([(i, "good plain words here " * 3 if i % 2 else "b@d $$$ ### " * 4, 0.5) for i in range(1, 60)] + [(60, None, 0.1), (61, "", 0.1), (62, "ab", 0.2)], "doc_id long, text string, y double")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 1), (3, 7), (None, 1), (999, 0)], "doc_id long, quality int")
