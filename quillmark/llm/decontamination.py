@@ -2,26 +2,30 @@
 
 Test items are short and documents may be long, so the Jaccard similarity of
 the two says nothing; what counts is the share of an item's shingles that a
-document has. Items are partitioned by size. Each has a bottom-k MinHash
-sketch: its k least shingle hashes, a uniform sample of its set. A document
-becomes a candidate when it holds at least one of them, and candidates are
-verified on the complete shingle sets.
-
-k is the number that cannot be missed: an item of m shingles of which at
-least ``threshold * m`` are in a document has at most ``m - ceil(threshold*m)``
-others, so one more sketch entry than that always finds it. Large size classes
-stop at SKETCH entries, which miss with probability (1 - threshold)**SKETCH,
-below 1e-22 at 0.8.
+document has. Items are partitioned by size into classes of a power of two.
+Each has a bottom-k MinHash sketch: its k least shingle hashes, a uniform
+sample of its set. A document becomes a candidate when it holds enough of
+them, and candidates are verified on the complete shingle sets.
+
+Each class has its own sketches: an item of m shingles of which at least
+``threshold * m`` are in a document has at most ``m - ceil(threshold * m)``
+others, so of a sketch of h entries more than that, a document that contains
+the item always holds h. Larger classes ask for more hits (``hits``), so that
+single shingles in common make no candidates of long items; none is missed in
+any class.
 
 Shingles are five words, A-Z lower-cased. An item of fewer words is one
 shingle of its own length, and documents are read at that length too for it.
 Defined cases: null or empty texts, and texts without words, match nothing on
 either side; repeated rows and repeated ids each give rows of their own; null
-ids are reported as null; other columns are ignored or, in ``clean``, kept.
+ids are reported as null, and ids may be of any type; texts of any length are
+searched whole; without items nothing is found, and an empty table gives no
+rows; other columns, of whatever name, are ignored or, in ``clean``, kept.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,18 @@ from pyspark.sql import types as T
 from quillmark.llm import textops as tx
 from quillmark.llm.runtime import ship
 
-WORDS, THRESHOLD, SKETCH = 5, 0.8, 32
+WORDS, THRESHOLD = 5, 0.8
+#: Shingles of an item for each hit that its class asks for.
+PER_HIT = 16
 #: Items are searched in blocks of about so many bytes of text; a block is what is broadcast.
 BLOCK_BYTES = 16 << 20
 
 
+def hits(size: int) -> int:
+    """Sketch entries that a candidate must hold, by the size class of an item."""
+    return max(1, (1 << size.bit_length() - 1) // PER_HIT)
+
+
 class Index:
     """The items of one block, by shingle length and size class."""
 
@@ -55,15 +66,18 @@ class Index:
                     continue
                 width = min(n, len(mine))
                 s = np.unique(tx.windows(mine, np.array([0, len(mine)]), width)[0])
-                k = min(len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1, SKETCH)
+                # one hit at least, and never more than the shingles that must be there
+                least = min(hits(len(s)), max(1, int(np.ceil(threshold * len(s) - 1e-9))))
+                k = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + least
                 self.sets[c.first + i] = s
-                sketches.setdefault((width, int(len(s)).bit_length()), []).append((s[:k], c.first + i))
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for (width, _), found in sorted(sketches.items(), key=lambda x: x[0]):
+                sketches.setdefault((width, least), []).append((s[:k], c.first + i))
+        #: By shingle length: the hits asked for, and sketch entries with their items, of each size class.
+        self.parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for (width, least), found in sorted(sketches.items(), key=lambda x: x[0]):
             keys = np.concatenate([s for s, _ in found])
             items = np.repeat([i for _, i in found], [len(s) for s, _ in found])
             order = np.argsort(keys, kind="stable")
-            self.parts.setdefault(width, []).append((keys[order], items[order]))
+            self.parts.setdefault(width, []).append((least, keys[order], items[order]))
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, shared shingles, shingles of the item) of each verified match."""
@@ -75,13 +89,15 @@ class Index:
             for width, parts in self.parts.items():
                 g, bounds = tx.windows(h, w.of, width)
                 pairs: set[tuple[int, int]] = set()
-                for keys, items in parts:
+                for least, keys, items in parts:
                     first = np.searchsorted(keys, g)
                     hit = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == g)
                     text_of = np.searchsorted(bounds, hit, "right") - 1
+                    held: Counter[tuple[int, int]] = Counter()
                     for t, key in set(zip(text_of.tolist(), g[hit].tolist())):
                         a, b = np.searchsorted(keys, np.uint64(key)), np.searchsorted(keys, np.uint64(key), "right")
-                        pairs.update((t, i) for i in items[a:b].tolist())
+                        held.update((t, i) for i in items[a:b].tolist())
+                    pairs.update(x for x, n in held.items() if n >= least)
                 have, of = np.zeros(0, np.uint64), -1
                 for t, i in sorted(pairs):
                     if t != of:

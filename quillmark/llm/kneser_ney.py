@@ -37,6 +37,16 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 in their order, byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_small(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint64).tobytes())
 

@@ -9,16 +9,19 @@ of a path do not differ by more than chance. A template's
 purity is its share of bad labels, smoothed towards its host's and that
 towards all hosts'; templates above the limit are rejected.
 
-Every step is an aggregation with partial sums or a join of such sums, so a
-host with a third of all pages is only more rows of counts. Trees are as deep
-as the paths are. Explicit rules come first, the longest that fits.
+Every step is an aggregation with partial sums or a join of such sums. Where
+rows meet the sums of their host or parent, these are repeated SALTS times and
+rows dealt by a hash, so a host or folder with a third of all pages is spread
+over as many tasks. Trees are as deep as the paths are. Explicit rules come
+first, the longest that fits.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and belongs to the template of that empty host; empty segments
 are kept as such; several labels of a page count each; pages without label
 count for the shape of trees only; null page ids are judged like others;
-repeated rows count each; other columns are ignored. Without labels, nothing
-is rejected.
+repeated rows count each; URLs of any length are taken whole; an empty table
+gives no rows; other columns, of whatever name, are ignored. Without labels,
+nothing is rejected.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ FANOUT, ENOUGH = 20, 5
 #: Merging: branches less than Z standard errors from their siblings' share. Purity: weights of the host's and of the overall share.
 Z, HOST_WEIGHT, ALL_WEIGHT, LIMIT = 1.96, 10.0, 50.0, 0.5
 WILD, MERGED = "*", "{}"
+#: Tasks that the rows of one host or parent are dealt to.
+SALTS = 16
 #: Host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +68,12 @@ def _segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit(WILD), F.regexp_extract(s, "[^0-9/](\\.[A-Za-z]{1,5})$|[0-9](\\.[A-Za-z]{1,5})$", 2))).otherwise(s))
 
 
+def _meet(rows: DataFrame, sums: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Rows joined with sums of their host or parent, dealt by the hash of a column."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """urls, distinct (host, path, n, labelled, ...), with the template of each path.
 
@@ -77,8 +88,9 @@ def templates(urls: DataFrame) -> DataFrame:
         children = rows.groupBy(*here, child.alias("child")).agg(*(F.sum(c).alias(c) for c in ("n", "labelled")), F.count("*").alias("paths"))
         few = ~F.col("child").startswith(WILD) & (F.greatest("n", "labelled") < ENOUGH)
         nodes = children.groupBy(*here).agg(F.sum("paths").alias("paths"), F.count_if(few).alias("few"))
-        wide = children.where(few).select(*here, "child").join(nodes.where(F.col("few") > FANOUT).select(*here), here).withColumn("rare", F.lit(True))
-        rows = rows.withColumn("child", child).join(nodes.where(F.col("paths") > FANOUT).select(*here, F.lit(True).alias("open")), here, "left").join(wide, [*here, "child"], "left")
+        wide = _meet(children.where(few).select(*here, "child"), nodes.where(F.col("few") > FANOUT).select(*here), here, "child").withColumn("rare", F.lit(True))
+        rows = _meet(rows.withColumn("child", child), nodes.where(F.col("paths") > FANOUT).select(*here, F.lit(True).alias("open")), here, "path", "left")
+        rows = _meet(rows, wide, [*here, "child"], "path", "left")
         below = F.concat("template", F.lit("/"), F.when(F.col("rare"), F.lit(WILD)).otherwise(F.col("child")))
         whole = F.concat("template", F.lit("/"), F.array_join("s", "/"))
         rows = stored(rows.select(*urls.columns, F.when(F.col("open"), below).otherwise(whole).alias("template"), F.when(F.col("open"), rest).otherwise(F.array().cast("array<string>")).alias("s")), f"templates-{level}")
@@ -108,11 +120,11 @@ def _branches(counts: DataFrame) -> DataFrame:
         every = each.groupBy(*pool).agg(F.sum("n").alias("every_n"), F.sum("b").alias("every_b"))
         share = F.col("every_b") / F.greatest("every_n", F.lit(1))
         error = F.sqrt(share * (1 - share) / F.greatest("n", F.lit(1)))
-        near = each.join(every, pool).where((F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - share) <= Z * error))
+        near = _meet(each, every, pool, "x").where((F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - share) <= Z * error))
         several = near.groupBy(*pool).agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        merged = near.join(several, pool).select(*mine, F.concat(F.lit(MERGED), "shape").alias("to"))
+        merged = _meet(near, several, pool, "x").select(*mine, F.concat(F.lit(MERGED), "shape").alias("to"))
         to = F.concat(F.slice("g", 1, at), F.array(F.coalesce("to", "x")), F.col("rest"))
-        changed = keyed.join(merged, mine, "left").select("host", "template", "labelled", "bad", "s", to.alias("g"))
+        changed = _meet(keyed, merged, mine, "template", "left").select("host", "template", "labelled", "bad", "s", to.alias("g"))
         new = stored(changed.unionAll(rows.where(F.size("s") <= at)), f"branches-{at}")
         discard(rows)
         rows = new
@@ -125,7 +137,7 @@ def judged_templates(counts: DataFrame) -> DataFrame:
     pools = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     every = counts.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(1))).alias("all_share"))
-    rows = rows.join(pools, ["host", "branch"]).join(hosts, "host").join(F.broadcast(every))
+    rows = _meet(_meet(rows, pools, ["host", "branch"], "template"), hosts, ["host"], "template").join(F.broadcast(every))
     host_share = (F.col("h_bad") + ALL_WEIGHT * F.col("all_share")) / (F.col("h_labelled") + ALL_WEIGHT)
     return rows.select("host", "template", "branch", ((F.col("b") + HOST_WEIGHT * host_share) / (F.col("n") + HOST_WEIGHT)).alias("purity"))
 
@@ -143,7 +155,7 @@ def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: st
     paths = templates(seen.join(marks, ["host", "path"], "left").fillna(0, ["labelled", "bad"]))
     counts = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
     judged = judged_templates(stored(counts, "template-counts"))
-    known = paths.select("host", "path", "template").join(judged, ["host", "template"])
+    known = _meet(paths.select("host", "path", "template"), judged, ["host", "template"], "path")
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(known, ["host", "path"], "left").withColumn("rule", rule)
     own = F.when(F.col("purity") >= limit, "block").otherwise("allow")

@@ -1,4 +1,4 @@
-"""Modified Kneser-Ney over word pairs, token by token, to test against."""
+"""Modified Kneser-Ney over three words, token by token, to test against."""
 
 import re
 import zlib
@@ -23,32 +23,41 @@ def discounts(values):
 def scores(rows):
     """{doc_id: (held_out, n_tokens, n_known, N, base, score)} of (doc_id, text) rows."""
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    uni, bi = Counter(), Counter()
+    uni, tri, start = Counter(), Counter(), "<s>"
     for i, t in rows:
         if not held[i]:
-            prev = "<s>"
+            u = v = (start,)
             for w in toks(t):
                 uni[w] += 1
-                bi[("<s>",) if prev == "<s>" else (prev, 1), w] += 1
-                prev = w
-    after, before = defaultdict(list), Counter()
+                tri[u, v, w] += 1
+                u, v = v, (w, 1)
+    bi = Counter((v, w) for _, v, w in tri)
+    before = Counter(w for _, w in bi)
+    after3, after2 = defaultdict(list), defaultdict(list)
+    for (u, v, w), n in tri.items():
+        after3[u, v].append(n)
     for (v, w), n in bi.items():
-        after[v].append(n)
-        before[w] += 1
-    d2, d1 = discounts(bi.values()), discounts(before.values())
+        after2[v].append(n)
+    d3, d2, d1 = (discounts(x.values()) for x in (tri, bi, before))
     total, size, kinds = sum(uni.values()), len(uni), sum(before.values())
     rest = sum(d1[min(n, 3)] for n in before.values()) / max(kinds, 1) if kinds else 1.0
+
+    def order(c, found, d, lower):
+        if not found:
+            return lower
+        s = sum(found)
+        return max(c - d[min(c, 3)], 0) / s + sum(d[min(n, 3)] for n in found) / s * lower
+
     out = {}
     for i, t in rows:
-        prev, base, score = ("<s>",), 0.0, 0.0
+        u = v = (start,)
+        base = score = 0.0
         words = toks(t)
         for w in words:
             base += log10((uni[w] + 1) / (total + size + 1))
             p = max(before[w] - d1[min(before[w], 3)], 0) / max(kinds, 1) + rest / (size + 1)
-            if prev in after:
-                c, s = bi[prev, w], sum(after[prev])
-                p = max(c - d2[min(c, 3)], 0) / s + sum(d2[min(n, 3)] for n in after[prev]) / s * p
-            score += log10(p)
-            prev = (w, 1)
+            p = order(bi[v, w], after2.get(v), d2, p)
+            score += log10(order(tri[u, v, w], after3.get((u, v)), d3, p))
+            u, v = v, (w, 1)
         out[i] = (held[i], len(words), sum(uni[w] > 0 for w in words), total, base, score)
     return out

@@ -50,3 +50,23 @@ def test_contained(spark, monkeypatch):
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {x[0] for x in want}
     assert D.contained(d.limit(0), b).count() == 0
     assert D.contained(d, b.limit(0)).count() == 0 and D.clean(d, b.limit(0)).count() == len(docs)
+
+
+def test_no_class_misses_items_at_the_threshold():
+    """Items of every class, found in documents with exactly enough of their shingles and not in ones with one fewer."""
+    import pyarrow as pa
+
+    for m in (1, 2, 5, 15, 16, 31, 32, 63, 64, 127, 128, 300, 1000):
+        words = [f"w{m}x{k}" for k in range(m + 4)]
+        least = -(-4 * m // 5)
+        index = D.Index([" ".join(words), "other words that are in no document"], 5, 0.8)
+        docs = ["before " + " ".join(words[a : a + n + 4]) + " after" for n in (least, least - 1) for a in (0, (m - n) // 2, m - n)]
+        assert [(t, i, k, n) for t, i, k, n in index.search(pa.array(docs))] == [(t, 0, least, m) for t in range(3)], m
+
+
+def test_text_ids_clashes_and_long_texts(spark):
+    item = " ".join(f"k{k}" for k in range(40))
+    docs = spark.createDataFrame([("a", "x y z " * 200_000 + item, 1.0), ("b", "nothing of it", 2.0)], "doc_id string, text string, containment double")
+    items = spark.createDataFrame([("q", item)], "item_id string, text string")
+    assert [tuple(r) for r in D.contained(docs, items).collect()] == [("a", "q", 36, 36, 1.0)]
+    assert [r["doc_id"] for r in D.clean(docs, items).collect()] == ["b"]

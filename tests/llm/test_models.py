@@ -1,7 +1,10 @@
 """Language model, language identification and URL templates."""
 
+import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,20 @@ def test_scores(spark, data, shard_bytes):
         assert r["base_score"] == pytest.approx(w[4], abs=1e-8) and r["score"] == pytest.approx(w[5], abs=1e-8)
 
 
+def test_scores_of_odd_tables(spark):
+    """Ids as text, names that clash, a text of over a megabyte, repeated rows, one hot pair of words."""
+    rows = [(f"d{i}", f"of the w{i % 5} of the w{i}", "x") for i in range(40)] + [("long", "word by word and so on " * 60_000, "y"), ("d1", "of the w1 of the w1", "x"), (None, "never learned", None), ("e", "", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, SCORE string").repartition(3)
+    from pyspark.sql import functions as F
+
+    model = M.train(df.where(M.in_training(F.col("doc_id"))), shard_bytes=20_000)
+    out = M.score(df, model)
+    assert out.columns == ["doc_id", "text", "n_tokens", "n_known", "base_score", "score"]
+    want = scores([(f"{i}", t) if i is None else (i, t) for i, t, _ in rows if i is not None])
+    for r in out.where("doc_id is not null").collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][5], rel=1e-9) and (r["n_tokens"], r["n_known"]) == want[r["doc_id"]][1:3]
+
+
 def test_no_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", 3), (2, None, 4)], "doc_id long, text string, v int")
     got = M.score(df, M.train(df.limit(0))).orderBy("doc_id").collect()
@@ -196,3 +213,113 @@ def test_siblings_merge_at_inner_levels(spark):
     assert {got[len(urls) + i]["verdict"] for i in range(400)} == {"allow"}
     apart = _judged(spark, [(f"http://b.org/{x}/{i}", b) for x, b in (("casino", 1), ("news", 0)) for i in range(30)])
     assert len({r["template"] for r in apart.values()}) == 2
+
+
+def brute_templates(paths):
+    """{(host, path): template} from {(host, path): (pages, labels)}, node by node."""
+    def cut_one(s):
+        if not re.search("[0-9]", s):
+            return s
+        m = re.search(r"[^0-9/](\.[A-Za-z]{1,5})$|[0-9](\.[A-Za-z]{1,5})$", s)
+        return "*" + ((m.group(2) or "") if m else "")
+
+    rows, done = {k: ("", [cut_one(s) for s in k[1].removeprefix("/").split("/")]) for k in paths}, {}
+    while rows:
+        nodes, rest = defaultdict(list), {}
+        for (h, p), (t, s) in rows.items():
+            nodes[h, t].append((p, s))
+        for (h, t), found in nodes.items():
+            kids = defaultdict(lambda: [0, 0])
+            for p, s in found:
+                kids[s[0]][0] += paths[h, p][0]
+                kids[s[0]][1] += paths[h, p][1]
+            few = {c for c, n in kids.items() if c[:1] != "*" and max(n) < U.ENOUGH}
+            for p, s in found:
+                if len(found) <= U.FANOUT:
+                    done[h, p] = t + "/" + "/".join(s)
+                    continue
+                below = t + "/" + ("*" if s[0] in few and len(few) > U.FANOUT else s[0])
+                if s[1:]:
+                    rest[h, p] = below, s[1:]
+                else:
+                    done[h, p] = below
+        rows = rest
+    return done
+
+
+def brute_purity(counts):
+    """{(host, template): (branch, purity)} from {(host, template): (labels, bad)}."""
+    rows = [[h, t, n, b, t[1:].split("/"), t[1:].split("/")] for (h, t), (n, b) in counts.items()]
+    parents = defaultdict(set)
+    for h, _, _, _, s, _ in rows:
+        for at, x in enumerate(s):
+            parents[at, h, tuple(s[:at])].add(x)
+    for at in sorted({k[0] for k, v in parents.items() if len(v) > 1}, reverse=True):
+        each, every = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        key = lambda r: (r[0], tuple(r[4][:at]), tuple(r[5][at + 1 :]))
+        shape = lambda x: re.sub("[A-Za-z]+", "a", x)
+        for r in rows:
+            if len(r[4]) > at:
+                for table, last in ((each, r[4][at]), (every, shape(r[4][at]))):
+                    table[*key(r), last][0] += r[2]
+                    table[*key(r), last][1] += r[3]
+        near = defaultdict(set)
+        for (*k, x), (n, b) in each.items():
+            en, eb = every[*k, shape(x)]
+            share = eb / max(en, 1)
+            if n == 0 or abs(b / max(n, 1) - share) <= U.Z * math.sqrt(share * (1 - share) / max(n, 1)):
+                near[*k, shape(x)].add(x)
+        for r in rows:
+            if len(r[4]) > at:
+                group = near[*key(r), shape(r[4][at])]
+                r[5] = [*r[4][:at], U.MERGED + shape(r[4][at]) if r[4][at] in group and len(group) > 1 else r[4][at], *r[5][at + 1 :]]
+    pools, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for h, _, n, b, _, g in rows:
+        for table, k in ((pools, (h, "/" + "/".join(g))), (hosts, h)):
+            table[k][0] += n
+            table[k][1] += b
+    overall = sum(r[3] for r in rows) / max(1, sum(r[2] for r in rows))
+    out = {}
+    for h, t, _, _, _, g in rows:
+        branch = "/" + "/".join(g)
+        host = (hosts[h][1] + U.ALL_WEIGHT * overall) / (hosts[h][0] + U.ALL_WEIGHT)
+        out[h, t] = branch, (pools[h, branch][1] + U.HOST_WEIGHT * host) / (pools[h, branch][0] + U.HOST_WEIGHT)
+    return out
+
+
+def by_brute_force(urls):
+    """(template, purity, verdict) of each (url, bad or none)."""
+    cut = lambda u: re.match(r"[^:]*(?::(?!//)[^:]*)*://([^/?#]*)([^?#]*)", u or "")
+    ends = [(m.group(1).lower(), m.group(2)) if (m := cut(u)) else ("", "") for u, _ in urls]
+    paths = defaultdict(lambda: [0, 0, 0])
+    for e, (_, b) in zip(ends, urls):
+        paths[e][0] += 1
+        paths[e][1] += b is not None
+        paths[e][2] += b or 0
+    found = brute_templates(paths)
+    counts = defaultdict(lambda: [0, 0])
+    for e, (_, n, b) in paths.items():
+        counts[e[0], found[e]][0] += n
+        counts[e[0], found[e]][1] += b
+    judged = brute_purity(counts)
+    for e in ends:
+        branch, purity = judged[e[0], found[e]]
+        rules = sorted(((len(h + p), v) for h, p, v in U.RULES if (e[0] == h or e[0].endswith("." + h)) and e[1].startswith(p)), reverse=True)
+        yield branch, purity, rules[0][1] if rules else "block" if purity >= U.LIMIT else "allow"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_by_brute_force(spark, seed):
+    """A hot host, wide and sparse folders, ties, repeated and odd URLs: templates, purity and verdicts node by node."""
+    rng = random.Random(seed)
+    words = [a + b for a in ("win", "blog", "x", "shop", "q") for b in ("", "s", "-a", "zz", "_1")]
+    urls = []
+    for _ in range(700):
+        host = rng.choice(["hot.org"] * 5 + ["b.org", "c.net", "www.example.com"])
+        path = "".join("/" + rng.choice([rng.choice(words), str(rng.randrange(999)), f"p{rng.randrange(50)}.html", "".join(rng.choice("abcdefgh") for _ in range(4))]) for _ in range(rng.randrange(0, 5)))
+        bad = None if rng.random() < 0.4 else int(rng.random() < (0.9 if "win" in path else 0.1))
+        urls.append((f"http://{host}{path}{rng.choice(['', '/', '?q=1'])}", bad))
+    urls += [(None, None), ("no scheme", None), ("http://hot.org//a//", 1), ("http://hot.org/" + "d/" * 30 + "1", 0), ("http://b.org/" + "long" * 5000, None)] + urls[:40]
+    got = _judged(spark, urls)
+    for i, (template, purity, verdict) in enumerate(by_brute_force(urls)):
+        assert (got[i]["template"], got[i]["verdict"]) == (template, verdict) and got[i]["purity"] == pytest.approx(purity, abs=1e-9), urls[i]
