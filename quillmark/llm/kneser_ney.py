@@ -29,7 +29,7 @@ HELD_KEYS = 4_000_000
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted keys as compressed differences, byte planes apart."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
@@ -39,7 +39,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 def pack_small(values: np.ndarray) -> bytes:
     """Numbers below 2**32 in their order, byte planes apart."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack_small(blob: bytes) -> np.ndarray:
@@ -48,7 +48,7 @@ def unpack_small(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint64).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(counts.astype(np.uint64).tobytes())
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:

@@ -48,7 +48,7 @@ from quillmark.llm.runtime import discard, feed, new_path, ship, stored
 SHARD_BYTES, SHARDS = 12 << 20, 1 << 16
 FOLDS, HELD_FOLD = 7, 2
 #: Words that are a share of 1 / (COMMON * shards) of all tokens or more are spread over all shards.
-COMMON = 8
+COMMON = 2
 END = tx.stream(31, 1)[0]
 UNKNOWN = np.uint64(0xFFFFFFFF)
 CHUNK_BYTES = 4 << 20
@@ -79,38 +79,79 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def search(values: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is among values[low:end], which are sorted, and whether it is there."""
+    high, last = end, len(values) - 1
+    while (open_ := low < high).any():
+        middle = low + high >> 1
+        less = values[np.minimum(middle, last)] < wanted
+        low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    return low, (low < end) & (values[np.minimum(low, last)] == wanted) if last >= 0 else np.zeros(len(wanted), bool)
+
+
+@dataclass
+class Keys:
+    """Sorted 64-bit keys in files: different high halves, where each begins, and low halves."""
+
+    files: list[str]
+
+    @staticmethod
+    def save(folder: str, name: str, keys: np.ndarray) -> Keys:
+        heads, first = np.unique(keys >> _32, return_index=True)
+        arrays = heads.astype(np.uint32), narrow(np.append(first, len(keys))), (keys & UNKNOWN).astype(np.uint32)
+        return Keys([kn.saved(folder, f"{name}-{i}", x) for i, x in enumerate(arrays)])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        heads, begin, lows = map(kn.mapped, self.files)
+        at, there = kn.find(heads, (keys >> _32).astype(np.uint32))
+        if not len(heads):
+            return at, there
+        low = begin[at].astype(np.int64)
+        return search(lows, low, np.where(there, begin[at + 1].astype(np.int64), low), (keys & UNKNOWN).astype(np.uint32))
+
+
 @dataclass
 class Table:
-    """Followers of contexts: files of contexts, where each begins, followers, their counts, and sums by context."""
+    """Followers of contexts. Contexts seen once have their only follower beside them.
+
+    Others have where their followers begin, sums by context, followers and
+    their counts.
+    """
 
+    once: Keys
+    often: Keys
     files: list[str]
 
     @staticmethod
     def save(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> list[str]:
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        total = np.add.reduceat(counts, first) if len(first) else counts
-        kinds = np.stack([np.add.reduceat(x.astype(np.uint64), first) if len(first) else counts for x in (counts == 1, counts == 2, counts > 2)], axis=1)
-        arrays = (context[first], np.append(first, len(context)).astype(np.uint64), word.astype(np.uint32), narrow(counts), narrow(total), narrow(kinds))
-        return [kn.saved(folder, f"{name}-{i}", x) for i, x in enumerate((arrays[0], narrow(arrays[1]), *arrays[2:]))]
+        sizes = np.diff(first, append=len(context))
+        alone = (sizes == 1) & (counts[first] == 1)
+        mine = ~np.repeat(alone, sizes)
+        once, often = Keys.save(folder, f"{name}-once", context[first[alone]]), Keys.save(folder, f"{name}-often", context[first[~alone]])
+        begin, n = np.concatenate([[0], np.cumsum(sizes[~alone])]), counts[mine]
+        sums = [np.add.reduceat(x.astype(np.uint64), begin[:-1]) if len(n) else np.zeros(0, np.uint64) for x in (n, n == 1, n == 2, n > 2)]
+        arrays = word[first[alone]].astype(np.uint32), narrow(begin), narrow(sums[0]), narrow(np.stack(sums[1:], axis=1)), word[mine].astype(np.uint32), narrow(n)
+        return [*once.files, *often.files, *(kn.saved(folder, f"{name}-{i}", x) for i, x in enumerate(arrays))]
+
+    @classmethod
+    def of(cls, files: list[str]) -> Table:
+        return cls(Keys(files[:3]), Keys(files[3:6]), files[6:])
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of (context, word), and (total, followers of count 1, 2, 3 or more) of the context; 0 where there is none."""
-        contexts, begin, words, counts, total, kinds = map(kn.mapped, self.files)
+        only, begin, total, kinds, words, counts = map(kn.mapped, self.files)
         count, after = np.zeros(len(word), np.uint64), np.zeros((len(word), 4), np.uint64)
-        at, there = kn.find(contexts, context)
+        at, there = self.once.find(context)
+        mine = np.flatnonzero(there)
+        after[mine, :2] = 1
+        count[mine] = only[at[mine]] == word[mine]
+        at, there = self.often.find(context)
         mine = np.flatnonzero(there)
-        if not len(mine):
-            return count, after
         at = at[mine]
         after[mine, 0], after[mine, 1:] = total[at], kinds[at]
-        low, end, wanted = begin[at].astype(np.int64), begin[at + 1].astype(np.int64), word[mine]
-        high, last = end.copy(), len(words) - 1
-        while (open_ := low < high).any():
-            middle = low + high >> 1
-            less = words[np.minimum(middle, last)] < wanted
-            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
-        hit = (low < end) & (words[np.minimum(low, last)] == wanted)
-        count[mine[hit]] = counts[low[hit]]
+        place, hit = search(words, begin[at].astype(np.int64), begin[at + 1].astype(np.int64), word[mine].astype(np.uint32))
+        count[mine[hit]] = counts[place[hit]]
         return count, after
 
 
@@ -171,20 +212,20 @@ class Model:
         return out
 
     def sequences(self, c: tx.Chunk, number: np.ndarray, which: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two words before each token as one key, and its own number."""
+        """The two words before each token as one key, the nearer one first, and its own number."""
         w = number[which]
         v = np.concatenate([[self.begin], w[:-1]])
         v[of[:-1]] = self.begin
         u = np.concatenate([[self.begin], v[:-1]])
         u[of[:-1]] = self.begin
-        return u << _32 | v, w
+        return v << _32 | u, w
 
     def is_common(self, v: np.ndarray) -> np.ndarray:
         return kn.find(self.common, v)[1]
 
     def shard_of(self, context: np.ndarray) -> np.ndarray:
-        """The shard of two words: that of the second, or of both where the second is common."""
-        v = context & UNKNOWN
+        """The shard of two words: that of the nearer one, or of both where that is common."""
+        v = context >> _32
         return (np.where(self.is_common(v), tx.mix(context), tx.mix(v)) % np.uint64(self.shards)).astype(np.int64)
 
     def pair_shard_of(self, keys: np.ndarray) -> np.ndarray:
@@ -238,7 +279,7 @@ class Model:
         contexts, of_context = np.unique(context, return_inverse=True)
         different, place, back = np.unique(of_context.astype(np.uint64) << _32 | which.astype(np.uint64), return_index=True, return_inverse=True)
         context, w, word = context[place], w[place], which[place]
-        v = context & UNKNOWN
+        v = context >> _32
         pairs, first, of_pair = np.unique(v << _32 | word.astype(np.uint64), return_index=True, return_inverse=True)
         middle = self._order(1, *self.pair_stats(v[first], w[first]), lowest[word[first]])
         p = np.log10(self._order(0, *self.triple_stats(context, w), middle[of_pair]))[back]
@@ -333,7 +374,7 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
         m, shard = given.value, table.column("shard")[0].as_py()
         context, word, counts = triples(*(np.concatenate([unpack(x.as_buffer()) for x in table.column(n)]) for unpack, n in ((kn.unpack_sorted, "contexts"), (kn.unpack_small, "words"), (kn.unpack_counts, "counts"))))
         out = [{"kind": "triples", "key": shard, "files": Table.save(folder, f"triples-{shard}", context, word, counts), "n": kn.count_of_counts(counts)}]
-        pairs, preceded = kn.merged((context & UNKNOWN) << _32 | word)
+        pairs, preceded = kn.merged((context >> _32) << _32 | word)
         del context, word, counts
         common = m.is_common(pairs >> _32)
         mine, n = pairs[~common], preceded[~common]
@@ -359,7 +400,7 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
     n = np.zeros((2, 4), np.int64)
     for r in rows.where("files is not null").select("kind", "key", "files", "n").toLocalIterator():
         is_pairs = r["kind"] == "pairs"
-        (model.pairs if is_pairs else model.triples)[r["key"]] = Table(r["files"])
+        (model.pairs if is_pairs else model.triples)[r["key"]] = Table.of(r["files"])
         n[int(is_pairs)] += np.array(r["n"][-4:])
         model.kinds += r["n"][0] if is_pairs else 0
     for r in more.where("files is not null").select("key", "files", "n").toLocalIterator():
