@@ -100,11 +100,23 @@ def capped(df: DataFrame, group: str, order: list[Column], most: int) -> DataFra
 
 
 def token_overlap_join(titles: DataFrame, names: DataFrame, least: float = 0.5, shortest: int = 4) -> DataFrame:
-    """(title_id, name_id, share) of pairs that share so many of the title's longer words, by an equi-join on words."""
+    """(title_id, name_id, share) of pairs that share so many of the title's longer words.
+
+    A title of n words of which a share is found elsewhere has one of its
+    rarest n - ceil(share * n) + 1 words there, so only those are joined on:
+    a common word makes no pairs. Candidates are verified on all words.
+    """
     from quillmark.functions.scalars import normal_title
 
-    tokens = lambda t, i, x: t.select(i, F.explode(F.array_distinct(F.filter(F.split(normal_title(x), " "), lambda w: F.length(w) >= shortest))).alias("w"))
-    a, b = tokens(titles, "title_id", "title"), tokens(names, "name_id", "name")
-    sizes = a.groupBy("title_id").agg(F.count("*").alias("n"))
-    common = a.join(b, "w").groupBy("title_id", "name_id").agg(F.count("*").alias("k"))
-    return common.join(sizes, "title_id").withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= least).select("title_id", "name_id", "share")
+    words = lambda x: F.array_distinct(F.filter(F.split(normal_title(x), " "), lambda w: F.length(w) >= shortest))
+    a = titles.select("title_id", words("title").alias("ws")).where(F.size("ws") > 0).withColumn("n", F.size("ws"))
+    b = names.select("name_id", words("name").alias("found"))
+    placed = b.select("name_id", F.explode("found").alias("w"))
+    often = placed.groupBy("w").agg(F.count("*").alias("often"))
+    ranked = a.select("title_id", "n", F.explode("ws").alias("w")).join(often, "w").withColumn("rank", F.row_number().over(Window.partitionBy("title_id").orderBy("often", "w")))
+    # words that no name has come first in the order; they are counted, not joined
+    absent = F.col("n") - F.count("*").over(Window.partitionBy("title_id"))
+    rare = ranked.withColumn("rank", F.col("rank") + absent).where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    pairs = rare.select("title_id", "w").join(placed, "w").select("title_id", "name_id").distinct()
+    both = pairs.join(a, "title_id").join(b, "name_id").withColumn("share", F.size(F.array_intersect("ws", "found")) / F.col("n"))
+    return both.where(F.col("share") >= least).select("title_id", "name_id", "share")

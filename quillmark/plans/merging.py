@@ -196,19 +196,12 @@ def cascade_delete(spark, d):
 
 @query(
     "q_word_overlap",
-    """with a as (select distinct item_id as title_id, unnest(string_split(trim(regexp_replace(lower(text[1:60]), '[^a-z0-9]+', ' ', 'g')), ' ')) as w from benchmark), b as (select distinct doc_id as name_id, unnest(string_split(trim(regexp_replace(lower(text[1:200]), '[^a-z0-9]+', ' ', 'g')), ' ')) as w from documents),
+    """with a as (select distinct item_id as title_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) as w from benchmark), b as (select distinct doc_id as name_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) as w from documents),
     a2 as (select * from a where len(w) >= 4), n as (select title_id, count(*) as n from a2 group by 1)
     select title_id, name_id, round(count(*)::double / max(n), 6) as share from a2 join b using (w) join n using (title_id) group by 1, 2 having count(*)::double / max(n) >= 0.5""",
 )
 def word_overlap(spark, d):
-    a = table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.left("text", F.lit(60)).alias("title"))
-    b = table(spark, d, "documents").select(F.col("doc_id").alias("name_id"), F.left("text", F.lit(200)).alias("name"))
-    return M.token_overlap_join(a, b).withColumn("share", F.round("share", 6))
-
-
-@query("q_word_overlap_whole")
-def word_overlap_whole(spark, d):
-    """As q_word_overlap, over whole texts of items and documents."""
+    """Documents that have half of an item's words or more, over whole texts."""
     a = table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
     b = table(spark, d, "documents").select(F.col("doc_id").alias("name_id"), F.col("text").alias("name"))
     return M.token_overlap_join(a, b).withColumn("share", F.round("share", 6))

@@ -130,7 +130,7 @@ def test_word_overlap_of_whole_texts(spark, data):
             if w and len(w & words(t)) / len(w) >= 0.5:
                 want[r["item_id"], i] = round(len(w & words(t)) / len(w), 6)
                 late += len(w & words(t[:200])) / len(w) < 0.5
-    got = {(r["title_id"], r["name_id"]): r["share"] for r in QUERIES["q_word_overlap_whole"](spark, data).collect()}
+    got = {(r["title_id"], r["name_id"]): r["share"] for r in QUERIES["q_word_overlap"](spark, data).collect()}
     assert got == want and late > 0
 
 
