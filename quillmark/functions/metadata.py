@@ -69,30 +69,38 @@ def species_of_name(name) -> Column:
     return F.when(F.coalesce(c(name), F.lit("")) == "", "unknown").otherwise(by_words(name, SPECIES_OF_NAME, "other"))
 
 
+# Words of approaches, and of texts, that tell a modality.
+EPHYS_APPROACHES, IMAGING_APPROACHES = ("electrophysiol",), ("microscopy", "imaging")
+EPHYS_TEXT, IMAGING_TEXT = "electrophysiol|spike|extracellular|tetrode", "calcium|fluorescen|imaging"
+EPHYS_PAIR = ("patch", "clamp")
+# Addresses that hold a DOI or the end of one, what a DOI looks like in them, and prefixes of such ends.
+PREPRINT_ADDRESS, PREPRINT_DOI = r"(?:bio|med)rxiv\.org/content/", r"(10\.\d+/[^\s/v]+)"
+ELIFE_ADDRESS, ELIFE_END, ELIFE_PREFIX = r"^https?://elifesciences\.org/articles/\d+", r"/articles/(\d+)", "10.7554/eLife."
+NATURE_ADDRESS, NATURE_END, NATURE_PREFIX = r"^https?://(?:www\.)?nature\.com/articles/[^\s?#]+", r"/articles/([^\s?#]+)", "10.1038/"
+ANY_DOI, DOI_HOST = r"(10\.\d{4,9}/[^\s,;)]+)", "doi.org/"
+
+
 def modality_of_approaches(approaches) -> Column:
     has = lambda *words: F.exists(F.coalesce(c(approaches), F.array().cast("array<string>")), lambda a: sum((F.lower(a).contains(w).cast("int") for w in words), F.lit(0)) > 0)
-    ephys, imaging = has("electrophysiol"), has("microscopy", "imaging")
+    ephys, imaging = has(*EPHYS_APPROACHES), has(*IMAGING_APPROACHES)
     return F.when(ephys & imaging, "multimodal").when(ephys, "ephys").when(imaging, "imaging").otherwise("other")
 
 
 def modality_of_text(text) -> Column:
     low = F.lower(F.coalesce(c(text), F.lit("")))
-    by = F.when(low.rlike("electrophysiol|spike|extracellular|tetrode"), "ephys").when(low.rlike("calcium|fluorescen|imaging"), "imaging")
-    return by.when(low.contains("patch") & low.contains("clamp"), "ephys").otherwise("other")
+    by = F.when(low.rlike(EPHYS_TEXT), "ephys").when(low.rlike(IMAGING_TEXT), "imaging")
+    return by.when(low.contains(EPHYS_PAIR[0]) & low.contains(EPHYS_PAIR[1]), "ephys").otherwise("other")
 
 
 def resource_doi(identifier, url) -> Column:
     """The DOI of a linked resource, by identifier, then by form of address."""
     i, u = c(identifier), c(url)
-    part = lambda x, p, k=1: F.nullif(F.regexp_extract(x, p, k), F.lit(""))
-    by_id = F.when(F.lower(F.left(i, F.lit(4))) == "doi:", F.substr(i, F.lit(5))).when(i.startswith("10."), i).when(i.contains("doi.org/"), F.substring_index(i, "doi.org/", -1))
-    by_url = (
-        F.when(u.contains("doi.org/"), F.substring_index(u, "doi.org/", -1))
-        .when(u.rlike("(?:bio|med)rxiv\\.org/content/") & part(u, r"(10\.\d+/[^\s/v]+)").isNotNull(), part(u, r"(10\.\d+/[^\s/v]+)"))
-        .when(u.rlike(r"^https?://elifesciences\.org/articles/\d+"), F.concat(F.lit("10.7554/eLife."), part(u, r"/articles/(\d+)")))
-        .when(u.rlike(r"^https?://(?:www\.)?nature\.com/articles/[^\s?#]+"), F.concat(F.lit("10.1038/"), part(u, r"/articles/([^\s?#]+)")))
-        .otherwise(part(u, r"(10\.\d{4,9}/[^\s,;)]+)"))
-    )
+    part = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
+    after = lambda x: F.when(x.contains(DOI_HOST), F.substring_index(x, DOI_HOST, -1))
+    by_id = F.when(F.lower(F.left(i, F.lit(4))) == "doi:", F.substr(i, F.lit(5))).when(i.startswith("10."), i).otherwise(after(i))
+    whole = F.when(u.rlike(PREPRINT_ADDRESS), part(u, PREPRINT_DOI))
+    ends = [F.when(u.rlike(address), F.concat(F.lit(prefix), part(u, end))) for address, end, prefix in ((ELIFE_ADDRESS, ELIFE_END, ELIFE_PREFIX), (NATURE_ADDRESS, NATURE_END, NATURE_PREFIX))]
+    by_url = F.coalesce(after(u), whole, *ends, part(u, ANY_DOI))
     return F.coalesce(F.nullif(by_id, F.lit("")), by_url)
 
 

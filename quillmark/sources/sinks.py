@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,10 @@ def upserted(current: DataFrame, fresh: DataFrame, keys: list[str], is_error: Co
 
     An error so never replaces a good row.
     """
-    both = current.unionByName(fresh, allowMissingColumns=True).withColumn("_bad", is_error)
-    order = Window.partitionBy(*keys).orderBy(F.col("_bad"), F.col(version).desc())
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_bad", "_n")
+    both = current.unionByName(fresh, allowMissingColumns=True)
+    # the best row is a maximum, summed up before the shuffle, so a hot key costs a row a task
+    best = F.max_by(F.struct(*(F.col(c) for c in both.columns)), F.struct(~F.coalesce(is_error, F.lit(False)), F.col(version)))
+    return both.groupBy(*keys).agg(best.alias("_r")).select("_r.*")
 
 
 def quarantined(df: DataFrame, usable: Column) -> tuple[DataFrame, DataFrame]:
