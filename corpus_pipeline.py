@@ -2,6 +2,14 @@
 
 Each stage reads what the one before wrote. All but the last keep the columns
 of ``documents``; the last returns the packed pieces.
+
+Defined cases, alike in all stages: null, empty and very long texts, null
+sources and languages, null ids and ids of other types, repeated rows and
+columns of any other name are allowed. A null or empty text has the learned
+share of good documents as its score, no lines, no near duplicates and no
+benchmark items, and is packed as its end id alone. Rows that repeat an id
+and text are near duplicates of one document, which stays with all its rows; a
+null id stays. An empty table gives an empty one.
 """
 
 from __future__ import annotations
