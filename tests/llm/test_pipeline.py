@@ -54,3 +54,19 @@ def test_stages_against_plain_python(spark, data):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     docs = [(r["doc_id"], r["text"]) for r in third.collect()]
     assert {r["doc_id"] for r in fourth.collect()} == {i for i, _ in docs} - {m[0] for m in contained(docs, items)}
+
+
+def test_text_ids_and_clashing_columns(spark, data):
+    """Ids that are no numbers, null ones, long texts, repeated rows, and columns named like the operators' own."""
+    base = "plain words that say a thing and then another thing about rivers and hills in the south"
+    rows = [("a", base, "s"), ("b", base + " again", "s"), ("a", base, "s"), (None, "some other words entirely about a house by the sea", None), ("long", "a word or two of prose follows here. " * 30_000, "t"), ("e", "", "t"), ("n", None, None)]
+    docs = spark.createDataFrame([(*r, 1.0, 2, "x", "y") for r in rows], "doc_id string, text string, source string, score double, id int, __gone string, component_id string")
+    before = docs.schema.simpleString()
+    for _, stage in P.STAGES[:-1]:
+        docs = P.stored(stage(spark, docs, data), "t")
+        assert docs.schema.simpleString() == before
+    kept = sorted(r["doc_id"] or "" for r in docs.collect())
+    assert kept == sorted(x for x in kept if x != "b") or "a" not in kept
+    packed = P.pack(spark, docs, data)
+    assert packed.select("doc_id").distinct().count() == len(set(kept))
+    assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0] + sum(r["doc_tokens"] for r in packed.where("doc_id = 'a' and start = 0").limit(1).collect() if kept.count("a") > 1)
