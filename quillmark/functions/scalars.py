@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ MONTH_DAYS, YEAR_DAYS = 30.44, 365.25
 #: Fixed value: what stands where the middle of a long text was.
 OMITTED = "\n\n[... MIDDLE OF PAPER OMITTED FOR LENGTH ...]\n\n"
 
+#: What link texts leave at the end of ids, in the order they are taken off.
+LINK_SUFFIXES = ("Download", "http:")
+
 
 def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -171,3 +176,39 @@ def word_overlap(a, b) -> Column:
 
 def any_evidence(contexts, availability) -> Column:
     return (F.size(F.coalesce(c(contexts), F.array())) > 0) | (F.coalesce(c(availability), F.lit("")) != "")
+
+
+def without_suffixes(x, suffixes: tuple[str, ...] = LINK_SUFFIXES) -> Column:
+    """Each ending taken off once, in order."""
+    out = c(x)
+    for ending in suffixes:
+        out = F.when(out.endswith(ending), F.left(out, F.char_length(out) - len(ending))).otherwise(out)
+    return out
+
+
+def search_terms(x) -> Column:
+    """Dashes as blanks, no punctuation at the end, single blanks."""
+    bare = F.rtrim(F.translate(c(x), "\u2013\u2014-", "   "), F.lit(".,;:!?"))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def contributor_names(people, most: int = 15) -> Column:
+    """"Last, First" of those with a last name among the first people of an array of (last, first), else "Not listed"."""
+    name = lambda p: F.btrim(F.concat(p["last"], F.lit(", "), F.coalesce(p["first"], F.lit(""))), F.lit(", "))
+    named = F.filter(F.slice(F.coalesce(c(people), F.array()), 1, most), lambda p: F.coalesce(p["last"], F.lit("")) != "")
+    return F.when(F.size(named) > 0, F.array_join(F.transform(named, name), "; ")).otherwise(F.lit("Not listed"))
+
+
+def filled(template: str, **values) -> Column:
+    """A template with columns at its {names}; nulls are empty, and values are never read as templates."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            parts.append(F.coalesce(c(values[name]).cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
+def weighted_median(x, certain, share: float, unit: int = 100) -> Column:
+    """The median of values that count whole where certain and by a share elsewhere; an aggregate, exact to 1 / unit of a row."""
+    return F.percentile(c(x), 0.5, F.when(c(certain), unit).otherwise(round(share * unit)).cast("long"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +28,19 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint, for plans that grow round by round.
+
+    The folder is that of spark.checkpoint.dir; only a local master gets a
+    temporary one where it is unset.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()
