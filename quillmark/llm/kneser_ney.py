@@ -9,7 +9,11 @@ into memory and share their pages.
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+import resource
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +28,12 @@ from quillmark.llm.runtime import filesystem
 
 #: Keys a task holds before it counts and sends them (8 bytes each).
 HELD_KEYS = 4_000_000
+#: Where arrays begin in a file.
+ALIGN = 64
+# a map keeps its file open before Python 3.13
+_NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+#: Files a worker maps at once: a quarter of Linux's usual bound of maps, and half its open files where each map holds one.
+MAPS = 16_000 if _NO_FILE else min(16_000, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -113,39 +123,67 @@ def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     return table.column("shard")[0].as_py(), *merged(np.concatenate(keys), np.concatenate(counts))
 
 
-def saved(folder: str, name: str, array: np.ndarray) -> str:
-    """Write an array to the shared folder; the name is this attempt's alone."""
+def saved(folder: str, name: str, *arrays: np.ndarray) -> str:
+    """Write arrays to one file of the shared folder; the name is this attempt's alone.
+
+    A list of their kinds and shapes stands first; it and each array begin at multiples of ALIGN bytes.
+    """
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    at = f"{name}-{uuid.uuid4().hex[:12]}.npy"
+    at = f"{name}-{uuid.uuid4().hex[:12]}.arrays"
+    arrays = [np.ascontiguousarray(x) for x in arrays]
+    head = json.dumps([[x.dtype.str, x.shape] for x in arrays]).encode()
+    head = len(head).to_bytes(8, "little") + head
     with fs.open_output_stream(f"{path}/{at}") as out:
-        np.save(out, array)
+        out.write(head + bytes(-len(head) % ALIGN))
+        for x in arrays:
+            out.write(x.reshape(-1).view(np.uint8))
+            out.write(bytes(-x.nbytes % ALIGN))
     return f"{folder}/{at}"
 
 
-_MAPPED: dict[str, np.ndarray] = {}
+_MAPPED: dict[str, list[np.ndarray]] = {}
 
 
-def mapped(uri: str) -> np.ndarray:
-    """A saved array, memory-mapped. From a remote store a copy without a name is mapped."""
-    got = _MAPPED.get(uri)
+def arrays(uri: str) -> list[np.ndarray]:
+    """Saved arrays, memory-mapped. From a remote store a copy without a name is mapped.
+
+    MAPS files stay mapped; of more, those used longest ago are let go.
+    """
+    got = _MAPPED.pop(uri, None)
     if got is None:
         fs, path = filesystem(uri)
         if fs.type_name == "local":
-            got = np.load(path, mmap_mode="r")
+            got = _map(path)
         else:
-            handle, local = tempfile.mkstemp(suffix=".npy")
+            handle, local = tempfile.mkstemp(suffix=".arrays")
             with os.fdopen(handle, "wb") as out, fs.open_input_stream(path) as source:
                 while piece := source.read(8 << 20):
                     out.write(piece)
-            got = np.load(local, mmap_mode="r")
+            got = _map(local)
             os.unlink(local)
-        if len(_MAPPED) > 20_000:
-            _MAPPED.clear()
-        _MAPPED[uri] = got
+        while len(_MAPPED) >= MAPS:
+            del _MAPPED[next(iter(_MAPPED))]
+    _MAPPED[uri] = got
     return got
 
 
+def mapped(uri: str) -> np.ndarray:
+    """The only array of a file, or its first."""
+    return arrays(uri)[0]
+
+
+def _map(path: str) -> list[np.ndarray]:
+    with open(path, "rb") as f:
+        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_FILE)
+    at, out = 8 + int.from_bytes(m[:8], "little"), []
+    for kind, shape in json.loads(m[8:at]):
+        at += -at % ALIGN
+        out.append(np.ndarray(tuple(shape), kind, m, at))
+        at += out[-1].nbytes
+    return out
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where sorted keys hold wanted ones, and which are there."""
     if not len(keys):

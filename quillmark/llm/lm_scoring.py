@@ -10,9 +10,10 @@ shard has its triples spread over all by their first two words; what precedes
 its pairs is summed in a second shuffle. How many different words precede a
 word is summed in a third. Nothing is pruned.
 
-All arrays are sorted files in the shared folder, mapped into memory by the
-workers. The driver sees only lists of files, the common words' sums (COMMON
-words a shard at most) and a few totals.
+All arrays are sorted, in five files a shard in the shared folder, mapped into
+memory by the workers, which hold no open file for them. The driver sees only
+lists of files, the common words' sums (COMMON words a shard at most) and a
+few totals.
 
 p(w | u v) = max(c(uvw) - D, 0) / c(uv.) + g(uv) p(w | v), the next order
 likewise with the number of different words before a pair in place of its
@@ -91,18 +92,17 @@ def search(values: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndar
 
 @dataclass
 class Keys:
-    """Sorted 64-bit keys in files: different high halves, where each begins, and low halves."""
+    """Sorted 64-bit keys: different high halves, where each begins, and low halves."""
 
-    files: list[str]
+    arrays: list[np.ndarray]
 
     @staticmethod
-    def save(folder: str, name: str, keys: np.ndarray) -> Keys:
+    def parts(keys: np.ndarray) -> list[np.ndarray]:
         heads, first = np.unique(keys >> _32, return_index=True)
-        arrays = heads.astype(np.uint32), narrow(np.append(first, len(keys))), (keys & UNKNOWN).astype(np.uint32)
-        return Keys([kn.saved(folder, f"{name}-{i}", x) for i, x in enumerate(arrays)])
+        return [heads.astype(np.uint32), narrow(np.append(first, len(keys))), (keys & UNKNOWN).astype(np.uint32)]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        heads, begin, lows = map(kn.mapped, self.files)
+        heads, begin, lows = self.arrays
         at, there = kn.find(heads, (keys >> _32).astype(np.uint32))
         if not len(heads):
             return at, there
@@ -112,41 +112,35 @@ class Keys:
 
 @dataclass
 class Table:
-    """Followers of contexts. Contexts seen once have their only follower beside them.
+    """Followers of contexts, in one file. Contexts seen once have their only follower beside them.
 
     Others have where their followers begin, sums by context, followers and
     their counts.
     """
 
-    once: Keys
-    often: Keys
-    files: list[str]
+    file: str
 
     @staticmethod
-    def save(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> list[str]:
+    def save(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> str:
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         sizes = np.diff(first, append=len(context))
         alone = (sizes == 1) & (counts[first] == 1)
         mine = ~np.repeat(alone, sizes)
-        once, often = Keys.save(folder, f"{name}-once", context[first[alone]]), Keys.save(folder, f"{name}-often", context[first[~alone]])
         begin, n = np.concatenate([[0], np.cumsum(sizes[~alone])]), counts[mine]
         sums = [np.add.reduceat(x.astype(np.uint64), begin[:-1]) if len(n) else np.zeros(0, np.uint64) for x in (n, n == 1, n == 2, n > 2)]
         arrays = word[first[alone]].astype(np.uint32), narrow(begin), narrow(sums[0]), narrow(np.stack(sums[1:], axis=1)), word[mine].astype(np.uint32), narrow(n)
-        return [*once.files, *often.files, *(kn.saved(folder, f"{name}-{i}", x) for i, x in enumerate(arrays))]
-
-    @classmethod
-    def of(cls, files: list[str]) -> Table:
-        return cls(Keys(files[:3]), Keys(files[3:6]), files[6:])
+        return kn.saved(folder, name, *Keys.parts(context[first[alone]]), *Keys.parts(context[first[~alone]]), *arrays)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of (context, word), and (total, followers of count 1, 2, 3 or more) of the context; 0 where there is none."""
-        only, begin, total, kinds, words, counts = map(kn.mapped, self.files)
+        arrays = kn.arrays(self.file)
+        once, often, (only, begin, total, kinds, words, counts) = Keys(arrays[:3]), Keys(arrays[3:6]), arrays[6:]
         count, after = np.zeros(len(word), np.uint64), np.zeros((len(word), 4), np.uint64)
-        at, there = self.once.find(context)
+        at, there = once.find(context)
         mine = np.flatnonzero(there)
         after[mine, :2] = 1
         count[mine] = only[at[mine]] == word[mine]
-        at, there = self.often.find(context)
+        at, there = often.find(context)
         mine = np.flatnonzero(there)
         at = at[mine]
         after[mine, 0], after[mine, 1:] = total[at], kinds[at]
@@ -159,9 +153,8 @@ class Table:
 class Model:
     parts: int
     shards: int
-    #: By part: files of word hashes and of counts, and the first number of the part.
+    #: By part: the file of word hashes and counts, and the first number of the part.
     words: list[str] = field(default_factory=list)
-    counts: list[str] = field(default_factory=list)
     first: list[int] = field(default_factory=list)
     #: Files of how many different words precede each, by range of ``per`` numbers.
     preceding: dict[int, str] = field(default_factory=dict)
@@ -169,7 +162,7 @@ class Model:
     #: By shard: followers of two words, of one word, and keys and counts of pairs that begin with a common word.
     triples: dict[int, Table] = field(default_factory=dict)
     pairs: dict[int, Table] = field(default_factory=dict)
-    common_pairs: dict[int, list[str]] = field(default_factory=dict)
+    common_pairs: dict[int, str] = field(default_factory=dict)
     common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     common_stats: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.uint64))
     total: int = 0
@@ -204,7 +197,7 @@ class Model:
     def _values(self, name: str, part: int, at: np.ndarray) -> np.ndarray:
         """Counts, or preceding words, of places in a part."""
         if name == "counts":
-            return kn.mapped(self.counts[part])[at]
+            return kn.arrays(self.words[part])[1][at]
         out, number = np.zeros(len(at), np.uint64), at + self.first[part]
         for k, a, b in kn.runs(number // self.per):
             if k in self.preceding:
@@ -244,9 +237,10 @@ class Model:
         shard = self.pair_shard_of(keys)
         order = np.argsort(shard, kind="stable")
         for s, a, b in kn.runs(shard[order]):
-            if files := self.common_pairs.get(s):
-                at, there = kn.find(kn.mapped(files[0]), keys[order[a:b]])
-                count[mine[order[a:b][there]]] = kn.mapped(files[1])[at[there]]
+            if file := self.common_pairs.get(s):
+                found, counts = kn.arrays(file)
+                at, there = kn.find(found, keys[order[a:b]])
+                count[mine[order[a:b][there]]] = counts[at[there]]
         return count, after
 
     @staticmethod
@@ -305,15 +299,14 @@ def train(texts: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES)
 def _count_words(texts: DataFrame, model: Model, folder: str) -> None:
     def write(table: pa.Table) -> pa.Table:
         part, keys, counts = kn.gathered(table)
-        return pa.table({"part": [part], "n": [len(keys)], "total": [int(counts.sum())], "words": [kn.saved(folder, f"words-{part}", keys)], "counts": [kn.saved(folder, f"counts-{part}", counts)]})
+        return pa.table({"part": [part], "n": [len(keys)], "total": [int(counts.sum())], "words": [kn.saved(folder, f"words-{part}", keys, counts)]})
 
     sent = kn.counted(texts, lambda c, b: tokens(c)[0], model.part_of, CHUNK_BYTES)
-    rows = stored(sent.repartition(model.parts, "shard").groupBy("shard").applyInArrow(write, "part long, n long, total long, words string, counts string"), "words")
+    rows = stored(sent.repartition(model.parts, "shard").groupBy("shard").applyInArrow(write, "part long, n long, total long, words string"), "words")
     got = {r["part"]: r for r in rows.toLocalIterator()}
     for p in range(model.parts):
         r = got.get(p)
         model.words.append(r["words"] if r else "")
-        model.counts.append(r["counts"] if r else "")
         model.first.append(model.size)
         if r:
             model.size += r["n"]
@@ -326,16 +319,16 @@ def _count_words(texts: DataFrame, model: Model, folder: str) -> None:
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, file in zip(*(x.to_pylist() for x in b.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(kn.mapped(file) >= least) + first[part])], ["number"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(kn.arrays(file)[1] >= least) + first[part])], ["number"])
 
     # texts begin as often as they end, so the places before a text are as common as the end
     if model.total:
-        found = rows.select("part", "counts").mapInArrow(top, "number long").collect()
+        found = rows.select("part", "words").mapInArrow(top, "number long").collect()
         model.common = np.array(sorted({r["number"] for r in found} | {model.size}), np.uint64)
 
 
-_ROWS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("files", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
-_KINDS = "kind string, key long, files array<string>, n array<long>, keys binary, counts binary"
+_ROWS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("file", pa.string()), ("n", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
+_KINDS = "kind string, key long, file string, n array<long>, keys binary, counts binary"
 
 
 def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
@@ -373,12 +366,12 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
     def write(table: pa.Table) -> pa.Table:
         m, shard = given.value, table.column("shard")[0].as_py()
         context, word, counts = triples(*(np.concatenate([unpack(x.as_buffer()) for x in table.column(n)]) for unpack, n in ((kn.unpack_sorted, "contexts"), (kn.unpack_small, "words"), (kn.unpack_counts, "counts"))))
-        out = [{"kind": "triples", "key": shard, "files": Table.save(folder, f"triples-{shard}", context, word, counts), "n": kn.count_of_counts(counts)}]
+        out = [{"kind": "triples", "key": shard, "file": Table.save(folder, f"triples-{shard}", context, word, counts), "n": kn.count_of_counts(counts)}]
         pairs, preceded = kn.merged((context >> _32) << _32 | word)
         del context, word, counts
         common = m.is_common(pairs >> _32)
         mine, n = pairs[~common], preceded[~common]
-        out.append({"kind": "pairs", "key": shard, "files": Table.save(folder, f"pairs-{shard}", mine >> _32, mine & UNKNOWN, n), "n": [len(mine), *kn.count_of_counts(n)]})
+        out.append({"kind": "pairs", "key": shard, "file": Table.save(folder, f"pairs-{shard}", mine >> _32, mine & UNKNOWN, n), "n": [len(mine), *kn.count_of_counts(n)]})
         spread = kn.blobs(pairs[common], preceded[common], m.pair_shard_of)
         out += [{"kind": "common", "key": r["shard"], "keys": r["keys"], "counts": r["counts"]} for r in spread.to_pylist()]
         return pa.Table.from_pylist(out + before(mine), _ROWS)
@@ -386,7 +379,7 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
     def write_common(table: pa.Table) -> pa.Table:
         shard, pairs, preceded = kn.gathered(table)
         v = pairs >> _32
-        out = [{"kind": "pairs", "key": shard, "files": [kn.saved(folder, f"common-{shard}", pairs), kn.saved(folder, f"common-counts-{shard}", narrow(preceded))], "n": [len(pairs), *kn.count_of_counts(preceded)]}]
+        out = [{"kind": "pairs", "key": shard, "file": kn.saved(folder, f"common-{shard}", pairs, narrow(preceded)), "n": [len(pairs), *kn.count_of_counts(preceded)]}]
         for number, a, b in kn.runs(v):
             n = preceded[a:b]
             out.append({"kind": "sums", "key": number, "n": [int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]})
@@ -398,13 +391,13 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
     more = stored(blobs.repartition(model.shards, "shard").groupBy("shard").applyInArrow(write_common, _KINDS), "common")
 
     n = np.zeros((2, 4), np.int64)
-    for r in rows.where("files is not null").select("kind", "key", "files", "n").toLocalIterator():
+    for r in rows.where("file is not null").select("kind", "key", "file", "n").toLocalIterator():
         is_pairs = r["kind"] == "pairs"
-        (model.pairs if is_pairs else model.triples)[r["key"]] = Table.of(r["files"])
+        (model.pairs if is_pairs else model.triples)[r["key"]] = Table(r["file"])
         n[int(is_pairs)] += np.array(r["n"][-4:])
         model.kinds += r["n"][0] if is_pairs else 0
-    for r in more.where("files is not null").select("key", "files", "n").toLocalIterator():
-        model.common_pairs[r["key"]] = r["files"]
+    for r in more.where("file is not null").select("key", "file", "n").toLocalIterator():
+        model.common_pairs[r["key"]] = r["file"]
         n[1] += np.array(r["n"][-4:])
         model.kinds += r["n"][0]
     sums = {r["key"]: r for r in more.where("kind = 'sums'").groupBy("key").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4))).toLocalIterator()}
