@@ -114,28 +114,34 @@ def fitted(curve: DataFrame, group: str, t: str, v: str, model: str = "auto", gr
 def cox(start: np.ndarray, stop: np.ndarray, event: np.ndarray, x: np.ndarray, rounds: int = 50) -> dict[str, np.ndarray | float]:
     """Andersen-Gill regression with left truncation and Efron ties, by Newton steps.
 
-    Columns without variance get coefficient 0.
+    Columns without variance get coefficient 0. Sums over the rows at risk run
+    back from the last time, so a step takes time with the rows.
     """
     live = x.std(axis=0) > 0
     z = (x - x.mean(axis=0))[:, live]
-    b = np.zeros(z.shape[1])
-    times = np.unique(stop[event == 1])
+    b, info, value = np.zeros(z.shape[1]), np.zeros((z.shape[1],) * 2), 0.0
+    dead = np.flatnonzero(event == 1)
+    dead = dead[np.argsort(stop[dead], kind="stable")]
+    times, first_dead, of, ties = np.unique(stop[dead], return_index=True, return_inverse=True, return_counts=True)
+    begin, end = at_risk(start, stop, times)
+    share = (np.arange(len(dead)) - first_dead[of]) / ties[of]  # of the dead at a time, those taken out before
+
+    def left(values: np.ndarray) -> np.ndarray:
+        """For each event the sum over those at risk, less the share of that over the dead of its time."""
+        change = np.bincount(end, values, len(times) + 1) - np.bincount(begin, values, len(times) + 1)
+        risk = np.cumsum(change[:0:-1])[::-1]
+        return risk[of] - share * np.bincount(of, values[dead], len(times))[of]
+
     for _ in range(rounds):
-        w = np.exp(np.clip(z @ b, -50, 50))
-        grad, info, value = np.zeros(len(b)), np.zeros((len(b), len(b))), 0.0
-        for s in times:
-            risk, dead = (start < s) & (stop >= s), (stop == s) & (event == 1)
-            r0, r1, r2 = w[risk].sum(), w[risk] @ z[risk], (z[risk] * w[risk, None]).T @ z[risk]
-            d0, d1, d2 = w[dead].sum(), w[dead] @ z[dead], (z[dead] * w[dead, None]).T @ z[dead]
-            n = int(dead.sum())
-            grad += z[dead].sum(axis=0)
-            value += float((z[dead] @ b).sum())
-            for k in range(n):
-                f = k / n
-                a0, a1, a2 = r0 - f * d0, r1 - f * d1, r2 - f * d2
-                grad -= a1 / a0
-                info += a2 / a0 - np.outer(a1, a1) / a0**2
-                value -= log(a0)
+        eta = z @ b
+        w = np.exp(np.clip(eta, -50, 50))
+        a0 = left(w)
+        mean = [left(w * c) / a0 for c in z.T]
+        grad = np.array([z[dead, i].sum() - m.sum() for i, m in enumerate(mean)])
+        value = float(eta[dead].sum() - np.log(a0).sum())
+        for i in range(len(b)):
+            for j in range(i + 1):
+                info[i, j] = info[j, i] = (left(w * z[:, i] * z[:, j]) / a0 - mean[i] * mean[j]).sum()
         step = np.linalg.lstsq(info, grad, rcond=None)[0]
         b = b + step
         if np.abs(step).max(initial=0) < 1e-8:
@@ -145,18 +151,53 @@ def cox(start: np.ndarray, stop: np.ndarray, event: np.ndarray, x: np.ndarray, r
     full[live], full_se[live] = b, se
     stat = full / full_se
     p = np.array([2 * (1 - 0.5 * (1 + erf(abs(s) / sqrt(2)))) if s == s else np.nan for s in stat])
-    return {"coef": full, "hazard_ratio": np.exp(full), "se": full_se, "z": stat, "p": p, "log_likelihood": value, "concordance": concordance(start, stop, event, x @ full)}
+    score = np.zeros(len(x))
+    for i, c in enumerate(full):  # column by column, so that equal rows have equal scores
+        score += c * x[:, i]
+    return {"coef": full, "hazard_ratio": np.exp(full), "se": full_se, "z": stat, "p": p, "log_likelihood": value, "concordance": concordance(start, stop, event, score)}
+
+
+def at_risk(start: np.ndarray, stop: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the sorted times after each start, and the first after each stop; the times between them see the row at risk."""
+    begin, end = np.searchsorted(times, start, "right"), np.searchsorted(times, stop, "right")
+    return np.minimum(begin, end), end
 
 
 def concordance(start: np.ndarray, stop: np.ndarray, event: np.ndarray, score: np.ndarray) -> float:
     """Of pairs of an event and another interval at risk then, the share with the higher score at the event."""
-    right = ties = n = 0
-    for i in np.flatnonzero(event == 1):
-        others = (start < stop[i]) & (stop >= stop[i]) & ~((stop == stop[i]) & (event == 1))
-        right += int((score[others] < score[i]).sum())
-        ties += int((score[others] == score[i]).sum())
-        n += int(others.sum())
-    return (right + 0.5 * ties) / n if n else 0.5
+    dead = np.flatnonzero(event == 1)
+    times, of = np.unique(stop[dead], return_inverse=True)
+    begin, end = at_risk(start, stop, times)
+    kinds, rank = np.unique(score, return_inverse=True)
+    mine, width = rank[dead], len(kinds) + 1
+    # those that began up to the time, less those that ended before it, less the dead of the time
+    gone = dead[start[dead] < stop[dead]]
+    together = np.sort(np.searchsorted(times, stop[gone]) * width + rank[gone])
+    dead_below = lambda limit: np.searchsorted(together, of * width + limit)
+    sides = [(np.sort(side), rank[np.argsort(side, kind="stable")]) for side in (begin, end)]
+    seen = [np.searchsorted(side, of, "right") for side, _ in sides]
+
+    def below(limit: np.ndarray) -> np.ndarray:
+        came, went = (count_below(ranks, n, limit) for n, (_, ranks) in zip(seen, sides))
+        return came - went - dead_below(limit) + dead_below(np.zeros_like(limit))
+
+    right, up_to = below(mine), below(mine + 1)
+    n = int((seen[0] - seen[1] - dead_below(np.full_like(mine, len(kinds))) + dead_below(np.zeros_like(mine))).sum())
+    return (int(right.sum()) + 0.5 * int((up_to - right).sum())) / n if n else 0.5
+
+
+def count_below(values: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of the first n[i] values, whole numbers from 0, are below limit[i]; bit by bit, from the highest."""
+    low, high, out = np.zeros_like(n), n, np.zeros(len(n), np.int64)
+    for bit in reversed(range(int(max(values.max(initial=0), limit.max(initial=0))).bit_length())):
+        one = values >> bit & 1 == 1
+        ones = np.concatenate([[0], np.cumsum(one)])
+        up, low1, high1 = limit >> bit & 1 == 1, ones[low], ones[high]
+        zeros = len(values) - ones[-1]
+        out += np.where(up, (high - high1) - (low - low1), 0)
+        low, high = np.where(up, zeros + low1, low - low1), np.where(up, zeros + high1, high - high1)
+        values = np.concatenate([values[~one], values[one]])
+    return out
 
 
 def chi_square_quantile(p: float, df: float) -> float:

@@ -183,7 +183,7 @@ def nb_bootstrap(spark, d):
 
 @query("q_recurrent_regression")
 def recurrent_regression(spark, d):
-    """Hazard ratios of purchases by covariates of users; a group of users is one task."""
+    """Hazard ratios of purchases by covariates of users; a group of users is one task, in time n log n."""
     ship(spark)
     ev, ob = _histories(spark, d)
     day = lambda x: x.withColumn("t", F.col("t") / 86400)
