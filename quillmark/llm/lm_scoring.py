@@ -75,11 +75,6 @@ def triples(context: np.ndarray, word: np.ndarray, counts: np.ndarray | None = N
     return kinds[(key >> _32).astype(np.int64)], key & UNKNOWN, counts
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    """The same whole numbers in as few bytes as the largest needs."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
-
-
 def search(values: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each wanted value is among values[low:end], which are sorted, and whether it is there."""
     high, last = end, len(values) - 1
@@ -99,7 +94,7 @@ class Keys:
     @staticmethod
     def parts(keys: np.ndarray) -> list[np.ndarray]:
         heads, first = np.unique(keys >> _32, return_index=True)
-        return [heads.astype(np.uint32), narrow(np.append(first, len(keys))), (keys & UNKNOWN).astype(np.uint32)]
+        return [heads.astype(np.uint32), kn.narrow(np.append(first, len(keys))), (keys & UNKNOWN).astype(np.uint32)]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         heads, begin, lows = self.arrays
@@ -128,7 +123,7 @@ class Table:
         mine = ~np.repeat(alone, sizes)
         begin, n = np.concatenate([[0], np.cumsum(sizes[~alone])]), counts[mine]
         sums = [np.add.reduceat(x.astype(np.uint64), begin[:-1]) if len(n) else np.zeros(0, np.uint64) for x in (n, n == 1, n == 2, n > 2)]
-        arrays = word[first[alone]].astype(np.uint32), narrow(begin), narrow(sums[0]), narrow(np.stack(sums[1:], axis=1)), word[mine].astype(np.uint32), narrow(n)
+        arrays = word[first[alone]].astype(np.uint32), kn.narrow(begin), kn.narrow(sums[0]), kn.narrow(np.stack(sums[1:], axis=1)), word[mine].astype(np.uint32), kn.narrow(n)
         return kn.saved(folder, name, *Keys.parts(context[first[alone]]), *Keys.parts(context[first[~alone]]), *arrays)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +374,7 @@ def _count_triples(texts: DataFrame, model: Model, folder: str) -> None:
     def write_common(table: pa.Table) -> pa.Table:
         shard, pairs, preceded = kn.gathered(table)
         v = pairs >> _32
-        out = [{"kind": "pairs", "key": shard, "file": kn.saved(folder, f"common-{shard}", pairs, narrow(preceded)), "n": [len(pairs), *kn.count_of_counts(preceded)]}]
+        out = [{"kind": "pairs", "key": shard, "file": kn.saved(folder, f"common-{shard}", pairs, kn.narrow(preceded)), "n": [len(pairs), *kn.count_of_counts(preceded)]}]
         for number, a, b in kn.runs(v):
             n = preceded[a:b]
             out.append({"kind": "sums", "key": number, "n": [int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]})
@@ -414,7 +409,7 @@ def _count_preceding(rows: DataFrame, model: Model, folder: str, per: int) -> np
         k, keys, counts = kn.gathered(table)
         dense = np.zeros(per, np.uint64)
         dense[(keys - np.uint64(k * per)).astype(np.int64)] = counts
-        return pa.table({"k": [k], "file": [kn.saved(folder, f"before-{k}", narrow(dense))], "n": [kn.count_of_counts(counts) + [int((counts > 2).sum()), int(counts.sum())]]})
+        return pa.table({"k": [k], "file": [kn.saved(folder, f"before-{k}", kn.narrow(dense))], "n": [kn.count_of_counts(counts) + [int((counts > 2).sum()), int(counts.sum())]]})
 
     sent = rows.where("kind = 'before'").select(F.col("key").cast("int").alias("shard"), "keys", "counts")
     got = stored(sent.repartition(model.parts, "shard").groupBy("shard").applyInArrow(write, "k long, file string, n array<long>"), "before").collect()
